@@ -1,13 +1,17 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import hostrules, lines, mixing, packing, wavelet
+from . import hostrules, lines, mixing, packing, warc, wavelet
 
 QUERIES = {
     "op2_wavelet_shards": wavelet.op2_wavelet_shards,
     "op3_host_rules": hostrules.op3_host_rules,
     "op4_concat_and_cut": packing.op4_concat_and_cut,
     "op5_entropy_balancing": mixing.op5_entropy_balancing,
+    "op8_transaction_assembly": warc.op8_transaction_assembly,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": lines.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_transaction_assembly": warc.OP8_SQL,
+    "op10_line_dedup": lines.OP10_SQL,
+}
