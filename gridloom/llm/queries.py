@@ -1,6 +1,6 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import hostrules, lines, mixing, packing, warc, wavelet
+from . import hnsw, hostrules, lines, mixing, packing, warc, wavelet
 
 QUERIES = {
     "op2_wavelet_shards": wavelet.op2_wavelet_shards,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_concat_and_cut": packing.op4_concat_and_cut,
     "op5_entropy_balancing": mixing.op5_entropy_balancing,
     "op8_transaction_assembly": warc.op8_transaction_assembly,
+    "op9_hnsw_near_dedup": hnsw.op9_hnsw_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
