@@ -1,8 +1,9 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import hnsw, hostrules, lines, mixing, packing, warc, wavelet
+from . import hnsw, hostrules, lines, mixing, packing, toxicity, warc, wavelet
 
 QUERIES = {
+    "op1_toxicity_trees": toxicity.op1_toxicity_trees,
     "op2_wavelet_shards": wavelet.op2_wavelet_shards,
     "op3_host_rules": hostrules.op3_host_rules,
     "op4_concat_and_cut": packing.op4_concat_and_cut,
