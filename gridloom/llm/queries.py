@@ -1,6 +1,6 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, warc, wavelet
+from . import hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, urllist, warc, wavelet
 
 QUERIES = {
     "op1_toxicity_trees": toxicity.op1_toxicity_trees,
@@ -9,12 +9,14 @@ QUERIES = {
     "op4_concat_and_cut": packing.op4_concat_and_cut,
     "op5_entropy_balancing": mixing.op5_entropy_balancing,
     "op6_rtree_jaccard": jaccard.op6_rtree_jaccard,
+    "op7_temporal_list_join": urllist.op7_temporal_list_join,
     "op8_transaction_assembly": warc.op8_transaction_assembly,
     "op9_hnsw_near_dedup": hnsw.op9_hnsw_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_temporal_list_join": urllist.OP7_SQL,
     "op8_transaction_assembly": warc.OP8_SQL,
     "op10_line_dedup": lines.OP10_SQL,
 }
