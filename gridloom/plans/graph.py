@@ -1,0 +1,35 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the session's shared folder; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+    return df.checkpoint()
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable, for nodes with an edge.
+
+    Each round gives a node the smallest label around it and then that label's
+    own label.
+    """
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+    both = _cut(e.union(e.select("b", "a")).distinct())
+    labels = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    while True:
+        around = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        low = labels.join(around, labels["node"] == around["a"]).select("node", F.least("component", "c").alias("component"), F.col("component").alias("was"))
+        jump = low.select(F.col("node").alias("k"), F.col("component").alias("j"))
+        nxt = _cut(low.join(jump, F.col("component") == F.col("k"), "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component"), "was"))
+        if nxt.filter("component <> was").isEmpty():
+            return nxt.select("node", "component")
+        labels = nxt.select("node", "component")
