@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ALL = W.partitionBy(F.lit(0))  # class tables: one row a class
+
+def _all():
+    """One window over a class table (a row a class)."""
+    return W.partitionBy(F.lit(0))
 
 
 def fill_classes(counts: DataFrame) -> DataFrame:
@@ -19,26 +22,26 @@ def fill_classes(counts: DataFrame) -> DataFrame:
 def sqrt_inverse(counts: DataFrame, most: float = 10.0) -> DataFrame:
     """(cls, weight): sqrt(total / (classes * max(n, 1))), at most ``most`` times the smallest, summing to the number of classes."""
     c = fill_classes(counts)
-    k = F.count("*").over(ALL)
-    raw = F.sqrt(F.sum("n").over(ALL) / (k * F.greatest("n", F.lit(1))))
+    k = F.count("*").over(_all())
+    raw = F.sqrt(F.sum("n").over(_all()) / (k * F.greatest("n", F.lit(1))))
     a = c.withColumn("k", k).withColumn("w", raw)
-    b = a.withColumn("w", F.least("w", F.min("w").over(ALL) * F.lit(most)))
-    return b.select("cls", (F.col("w") * F.col("k") / F.sum("w").over(ALL)).alias("weight"))
+    b = a.withColumn("w", F.least("w", F.min("w").over(_all()) * F.lit(most)))
+    return b.select("cls", (F.col("w") * F.col("k") / F.sum("w").over(_all())).alias("weight"))
 
 
 def balanced_alpha(counts: DataFrame, top: float = 0.3) -> DataFrame:
     """(cls, alpha): 1 / sqrt(n), to sum 1, at most ``top``, to sum 1 again."""
     a = counts.withColumn("a", 1 / F.sqrt(F.greatest("n", F.lit(1))))
-    b = a.withColumn("a", F.least(F.col("a") / F.sum("a").over(ALL), F.lit(top)))
-    return b.select("cls", (F.col("a") / F.sum("a").over(ALL)).alias("alpha"))
+    b = a.withColumn("a", F.least(F.col("a") / F.sum("a").over(_all()), F.lit(top)))
+    return b.select("cls", (F.col("a") / F.sum("a").over(_all())).alias("alpha"))
 
 
 def sampling_factors(counts: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
     """(cls, n, factor): ceil(1 + (high - low) * rarity), rarity = -log10 share scaled to [0, 1] over the classes."""
-    r = -F.log10(F.col("n") / F.sum("n").over(ALL))
+    r = -F.log10(F.col("n") / F.sum("n").over(_all()))
     a = counts.filter("n > 0").withColumn("r", r)
-    span = F.max("r").over(ALL) - F.min("r").over(ALL)
-    unit = F.coalesce(F.try_divide(F.col("r") - F.min("r").over(ALL), span), F.lit(0e0))
+    span = F.max("r").over(_all()) - F.min("r").over(_all())
+    unit = F.coalesce(F.try_divide(F.col("r") - F.min("r").over(_all()), span), F.lit(0e0))
     return a.select("cls", "n", F.ceil(F.lit(1e0) + F.lit(high - low) * F.round(unit, 9)).cast("int").alias("factor"))
 
 
