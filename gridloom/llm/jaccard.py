@@ -7,8 +7,8 @@ set in any common order, here hash order with frequent shingles last.  Inside a
 block the shingles of each set are counted by hash group; the counts are points
 of an R-tree, and a subtree is left out where the summed coordinate minima of a
 query and the subtree's upper corner cannot reach the needed overlap.  Pairs
-that stay connect documents into candidate components; there an R-tree with more
-groups proposes pairs and exact set intersections verify them.  Pairs already
+that stay connect documents into candidate components; there an R-tree over the
+whole component proposes pairs and exact set intersections verify them.  Pairs already
 connected need no verification, so a group of m copies costs about m of them.
 
 Blocks and components above ``cap`` rows are cut into chunks that meet pair by
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 
 from .common import bounded, connected, materialise, ship
 
-GROUPS, FINE_GROUPS = 64, 256
+#: Groups of a set of n shingles: the power of two below n / 3 within these bounds, so that
+#: a group holds 3 to 6 shingles and unrelated sets of any size stay below the bound.
+FEWEST, MOST = 16, 1 << 16
 
 SIGNED = T.StructType(
     [
@@ -70,13 +72,54 @@ def shingles(text: str | None, words: int = 5):
     return np.unique(s)
 
 
-def group_counts(s, groups: int):
-    """Shingles per hash group; groups use bits that the order does not."""
+def group_counts(s):
+    """Shingles per hash group (by the low bits; the order uses the high ones)."""
     import numpy as np
 
+    groups = FEWEST
+    while groups < MOST and groups * 6 <= len(s):
+        groups *= 2
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
+def pack_counts(c) -> bytes:
+    import numpy as np
+
+    return b"\1" + c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"\4" + c.tobytes()
+
+
+def unpack_counts(b: bytes):
+    import numpy as np
+
+    return np.frombuffer(b, np.uint8 if b[:1] == b"\1" else np.uint32, offset=1)
+
+
+def plausible(points: list, sizes):
+    """(x, y) index arrays of the pairs of sets that the count bound leaves.
+
+    One tree for each number of groups.  Sets of 0.8 similarity have sizes
+    within a quarter, so their groups are as many or twice as many; the latter
+    fold by adding halves.
+    """
+    import numpy as np
+
+    groups = np.array([len(c) for c in points])
+    left, right = [], []
+    for g in np.unique(groups).tolist():
+        here, next_ = np.nonzero(groups == g)[0], np.nonzero(groups == 2 * g)[0]
+        c = np.stack([points[i] for i in here]).astype(np.int32)
+        tree = CountTree(c, sizes[here])
+        x, y = tree.pairs(c, sizes[here])
+        left.append(here[x])
+        right.append(here[y])
+        if len(next_):
+            folded = np.stack([points[i].astype(np.int32).reshape(2, g).sum(axis=0) for i in next_])
+            x, y = tree.pairs(folded, sizes[next_])
+            left += [next_[x], here[y]]
+            right += [here[y], next_[x]]
+    return np.concatenate(left), np.concatenate(right)
+
+
 class CountTree:
     """R-tree over count vectors, bulk-loaded by halving the widest coordinate."""
 
@@ -191,7 +234,7 @@ def _sign(docs: DataFrame, hot) -> DataFrame:
                 out["n"].append(n)
                 out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
                 out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
-                out["counts"].append(group_counts(s, GROUPS).tobytes())
+                out["counts"].append(pack_counts(group_counts(s)))
                 out["sigs"].append(s_prefix.view(np.int64))
                 size += prefix
                 if size > 200_000 or i == batch.num_rows - 1:
@@ -270,7 +313,7 @@ def _edges_of_blocks(rows: DataFrame, bins: int) -> DataFrame:
 
         node = np.asarray(t.column("rep"))
         n = np.asarray(t.column("n"))
-        c = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
+        c = t.column("counts")
         keys = np.stack([np.asarray(t.column(x)).astype(np.int64) for x in ("key", "_i", "_j")])
         order = np.lexsort(keys)
         cuts = np.nonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0))[0] + 1
@@ -279,7 +322,7 @@ def _edges_of_blocks(rows: DataFrame, bins: int) -> DataFrame:
             if len(rows_) < 2:
                 continue
             rows_ = rows_[np.argsort(node[rows_], kind="stable")]
-            x, y = CountTree(c[rows_], n[rows_]).pairs(c[rows_], n[rows_])
+            x, y = plausible([unpack_counts(c[int(i)].as_py()) for i in rows_], n[rows_])
             root = _roots(len(rows_), x, y)
             hang = np.nonzero(root != np.arange(len(rows_)))[0]
             out_a.append(node[rows_[hang]])
@@ -309,9 +352,7 @@ def _verified(rows: DataFrame, bins: int) -> DataFrame:
             if len(rows_) < 2:
                 continue
             sets = [shingles(t.column("text")[int(i)].as_py()) for i in rows_]
-            c = np.stack([group_counts(s, FINE_GROUPS) for s in sets])
-            n = np.array([len(s) for s in sets])
-            x, y = CountTree(c, n).pairs(c, n)
+            x, y = plausible([group_counts(s) for s in sets], np.array([len(s) for s in sets]))
             keep = x < y
             x, y = x[keep], y[keep]
             order_ = np.lexsort([y, x])
