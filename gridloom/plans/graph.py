@@ -19,17 +19,20 @@ def _cut(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for nodes with an edge.
 
-    Each round gives a node the smallest label around it and then that label's
-    own label.
+    Alternates large-star and small-star steps until the edges stay the same;
+    every join and minimum is keyed by node, and the edge table never grows.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    both = _cut(e.union(e.select("b", "a")).distinct())
-    labels = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    u, v = F.col("u"), F.col("v")
+    e = _cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    seen = None
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = labels.join(around, labels["node"] == around["a"]).select("node", F.least("component", "c").alias("component"), F.col("component").alias("was"))
-        jump = low.select(F.col("node").alias("k"), F.col("component").alias("j"))
-        nxt = _cut(low.join(jump, F.col("component") == F.col("k"), "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component"), "was"))
-        if nxt.filter("component <> was").isEmpty():
-            return nxt.select("node", "component")
-        labels = nxt.select("node", "component")
+        both = e.unionAll(e.select(v.alias("u"), u.alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(u.alias("v"), "m"))).alias("s"))
+        e = _cut(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).filter("u <> v").distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return e.select(u.alias("node"), v.alias("component")).unionAll(e.select(v.alias("node"), v.alias("component")).distinct())
+        seen = now

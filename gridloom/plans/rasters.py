@@ -187,7 +187,8 @@ def post_process_chain(spark, sf_dir):
     return focal.post_process(mapped, height(spark, sf_dir), WIDTH)
 
 
-@query("geometry_coverage", "SELECT 100e0 AS area, 72e0 AS covered, 28e0 AS missing, 72e0 AS share")
+@query("geometry_coverage", """WITH c AS (SELECT (x.i < 6 AND y.i < 8) OR (x.i BETWEEN 4 AND 7 AND y.i >= 2) AS hit FROM range(0, 10) x(i), range(0, 10) y(i))
+SELECT CAST(count(*) AS DOUBLE) AS area, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS covered, CAST(count(*) FILTER (WHERE NOT hit) AS DOUBLE) AS missing, 100e0 * count(*) FILTER (WHERE hit) / count(*) AS share FROM c""")
 def geometry_coverage(spark, sf_dir):
     boxes = spark.createDataFrame([(-5.0, -5.0, 6.0, 8.0), (4.0, 2.0, 8.0, 12.0)], "left double, bottom double, right double, top double")
     return geometry.coverage(boxes, (0, 0, 10, 10))
