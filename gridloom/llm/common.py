@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of anything but space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Prefix of working columns that are joined to a caller's own columns.
+OWN = "__gridloom_"
+
 #: Rows up to which a side may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, connected, materialise, ship
+from .common import OWN, bounded, connected, materialise, ship
 
 #: Groups of a set of n shingles: the power of two below n / 3 within these bounds, so that
 #: a group holds 3 to 6 shingles and unrelated sets of any size stay below the bound.
@@ -438,8 +438,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows without words or id stay.  Of rows that repeat an id one stays.
     """
     c = materialise(components(docs, id_col=id_col, text_col=text_col, **params))
-    gone = c.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(bounded(materialise(gone)), F.col(id_col) == F.col("_id"), "left_anti")
+    gone = c.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(f"{OWN}id")).distinct()
+    kept = docs.join(bounded(materialise(gone)), F.col(id_col) == F.col(f"{OWN}id"), "left_anti")
     again = c.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept

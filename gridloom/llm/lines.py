@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, scratch
+from .common import OWN, bounded, materialise, scratch
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,21 +118,21 @@ def drop_repeated_lines(
     drop = (
         keys.join(bounded(frequent), ["h1", "h2"])
         .groupBy("_id")
-        .agg(F.collect_set("h1").alias("_drop"))
-        .withColumnRenamed("_id", "_drop_id")
+        .agg(F.collect_set("h1").alias(f"{OWN}drop"))
+        .withColumnRenamed("_id", f"{OWN}drop_id")
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.split(text, "\n", -1)
-    kept = F.filter(raw, lambda l: ~F.array_contains(F.col("_drop"), _h1(strip(ascii_lower(l)))) | (F.length(strip(l)) < min_key))
-    step = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_drop_id")), "left").withColumns(
-        {"_kept": F.when(F.col("_drop").isNotNull(), kept), "n_lines": F.size(raw).cast("long")}
+    kept = F.filter(raw, lambda l: ~F.array_contains(F.col(f"{OWN}drop"), _h1(strip(ascii_lower(l)))) | (F.length(strip(l)) < min_key))
+    step = docs.join(drop, F.col(id_col).eqNullSafe(F.col(f"{OWN}drop_id")), "left").withColumns(
+        {f"{OWN}kept": F.when(F.col(f"{OWN}drop").isNotNull(), kept), "n_lines": F.size(raw).cast("long")}
     )
     return step.withColumns(
         {
-            text_col: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text),
-            "n_dropped": F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"),
+            text_col: F.when(F.col(f"{OWN}kept").isNotNull(), F.array_join(f"{OWN}kept", "\n")).otherwise(text),
+            "n_dropped": F.when(F.col(f"{OWN}kept").isNotNull(), F.col("n_lines") - F.size(f"{OWN}kept")).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop("_kept", "_drop", "_drop_id")
+    ).drop(f"{OWN}kept", f"{OWN}drop", f"{OWN}drop_id")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

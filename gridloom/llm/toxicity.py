@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, materialise, ship
+from .common import OWN, bounded, materialise, ship
 
 # Common insults, and second-person words of English, German, French and Spanish.
 SEED = (
@@ -252,9 +252,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     Rows are matched by id and text, nulls included.
     """
     s = score(docs, labels, id_col=id_col, text_col=text_col, **params)
-    bad = materialise(s.filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    bad = materialise(s.filter("predicted = 1").select(F.col("doc_id").alias(f"{OWN}id"), F.col("text_hash").alias(f"{OWN}hash")).distinct())
     return docs.join(
-        bounded(bad), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash")), "left_anti"
+        bounded(bad), F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(f"{OWN}hash")), "left_anti"
     )
 
 
