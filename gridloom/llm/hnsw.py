@@ -8,8 +8,9 @@ equi-join on the label brings every block to every shard of its label.  There
 
 * a beam search over the graph finds candidates, widened for a query as long as
   its whole beam lies above the threshold, and
-* an audit of some queries against brute force widens the starting beam until
-  its recall is reached (a beam as wide as the shard is an exact scan);
+* an audit of queries against brute force, each with links weighing the same,
+  widens the starting beam until its recall is reached (a beam as wide as the
+  shard is an exact scan); where links are few, more queries are audited, up to all;
 * cosines of candidates are verified in double precision.
 
 A task emits per vector its number of links and the root of its local union, so
@@ -222,11 +223,16 @@ class Graph:
         return g
 
 
-def linked_pairs(graph: Graph, q, threshold: float, beam: int, audit: int, recall: float, chunk: int = 512):
+def linked_pairs(graph: Graph, q, threshold: float, beam: int, audit: int, recall: float, chunk: int = 512, own=None, enough: int = 16):
     """(query row, graph row) arrays of all found pairs with cosine >= threshold, and the beam used.
 
-    The start beam doubles until ``audit`` evenly spaced queries reach
-    ``recall`` of the pairs that brute force finds for them.
+    Queries are drawn, ``audit`` at first, and compared with the whole shard until
+    ``enough`` of them have links that fit the beam; ``own`` has the graph row of
+    each query itself (-1: not there), which is no link.  The start beam doubles
+    until the mean recall of these queries, each weighing the same, is
+    ``recall``, and that of all drawn queries with links too: hot queries widen
+    by themselves and tell nothing of the others.  Where all queries had to be
+    drawn, their pairs are known and no beam is needed.
     """
     import numpy as np
 
@@ -248,13 +254,33 @@ def linked_pairs(graph: Graph, q, threshold: float, beam: int, audit: int, recal
             todo, width = np.concatenate(again), width * 2 if width * 64 < n else n
         return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
+    own = np.full(len(q), -1) if own is None else own
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    drawn, links = 0, []  # links: (query row, graph row) of the drawn queries
+    count = np.zeros(len(q), int)
+    while beam < n and drawn < len(q) and (not drawn or ((count > 0) & (count < beam)).sum() < enough):
+        more = order[drawn : max(2 * drawn, audit)]
+        drawn += len(more)
+        for lo in range(0, len(more), chunk):
+            part = more[lo : lo + chunk]
+            a, b = np.nonzero(q[part] @ graph.unit.T >= threshold)
+            links.append(np.stack([part[a], b]))
+            count[part] = np.bincount(a[b != own[part[a]]], minlength=len(part))
+    if links and drawn == len(q):
+        a, b = np.concatenate(links, axis=1)
+        return a, b, n
+    sample = np.sort(order[:drawn])
+    sample = sample[count[sample] > 0]
+    narrow = count[sample] < beam
     truth = q[sample] @ graph.unit.T >= threshold
+    inside = own[sample] >= 0
+    truth[np.nonzero(inside)[0], own[sample][inside]] = False
     while beam < n:
         a, b = find(sample, beam)
         hit = np.zeros_like(truth)
         hit[np.searchsorted(sample, a), b] = True
-        if (hit & truth).sum() >= recall * truth.sum():
+        got = (hit & truth).sum(axis=1) / count[sample]
+        if got.mean() >= recall and got[narrow].mean() >= recall:
             break
         beam *= 2
     a, b = find(np.arange(len(q)), min(beam, n))
@@ -357,7 +383,10 @@ def near_duplicates(
                 copies = np.frombuffer(r["copies"], np.int64)
                 q = _unit(np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1))
                 graph = Graph.load(r["graph"], _unit(np.frombuffer(r["vectors"]).reshape(len(ids), -1)))
-                a, b, _ = linked_pairs(graph, q, threshold, beam, audit, recall)
+                at = np.argsort(ids)
+                own = at[np.minimum(np.searchsorted(ids, q_ids, sorter=at), len(ids) - 1)]
+                own = np.where(ids[own] == q_ids, own, -1)
+                a, b, _ = linked_pairs(graph, q, threshold, beam, audit, recall, own=own)
                 other = q_ids[a] != ids[b]
                 a, b = a[other], b[other]
                 links = np.bincount(a, weights=copies[b], minlength=len(q_ids)).astype(np.int64)

@@ -230,3 +230,35 @@ def test_pipeline_stages_keep_clean_documents(spark, docs):
     assert kept.columns == docs.columns
     assert kept.join(y, "doc_id", "left_semi").count() >= 0.97 * docs.join(y, "doc_id", "left_semi").count()
     assert corpus_pipeline.line_stage(spark, docs, SF).count() == docs.count()
+
+
+def _cut_off(x, lone):
+    """A graph over ``x`` whose links never lead to the rows ``lone``: what a poor graph does to a beam."""
+    g = hnsw.Graph.fit(x)
+    for layer in g.layers:
+        layer[np.isin(layer, lone)] = -1
+    g.members = [np.setdiff1d(m, lone).astype(np.int32) for m in g.members]
+    return g
+
+
+def test_op9_audit_sees_the_few_links_beside_a_hot_group():
+    """Pairs that the beam can't reach, in a shard larger than the beam; the hot group's links outnumber them."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 32))
+    hot = rng.normal(size=32) + 0.01 * rng.normal(size=(300, 32))
+    x = hnsw._unit(np.vstack([base, base[:40] + 0.01 * rng.normal(size=(40, 32)), hot]))
+    a, b, _ = hnsw.linked_pairs(_cut_off(x, np.arange(400, 440)), x, 0.93, 32, 64, 0.99, own=np.arange(len(x)))
+    want = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    got = np.zeros_like(want)
+    got[a, b] = a != b
+    recall = ((got & want).sum(axis=1) / np.maximum(want.sum(axis=1), 1))[want.any(axis=1)]
+    assert not (got & ~want).any() and recall.mean() >= 0.99 and recall[:40].mean() >= 0.99
+
+
+def test_op9_audit_without_evidence_accepts_no_beam():
+    """Three pairs between a block and a shard, none of them among 64 evenly spaced queries."""
+    rng = np.random.default_rng(6)
+    q = hnsw._unit(rng.normal(size=(400, 32)))
+    x = hnsw._unit(np.vstack([rng.normal(size=(500, 32)), q[1:4] + 0.001 * rng.normal(size=(3, 32))]))
+    a, b, _ = hnsw.linked_pairs(_cut_off(x, np.arange(500, 503)), q, 0.93, 32, 64, 0.99)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 500), (2, 501), (3, 502)]
