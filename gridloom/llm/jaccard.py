@@ -396,19 +396,19 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     able = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     one = F.min(F.struct("doc_id", "text_hash"))
     reps = materialise(able.groupBy("k1", "k2").agg(one.alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash")))
-    # the row of each representative (repeated rows only repeat it)
-    mine = able.join(reps.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    prefixes = mine.select("rep", F.explode("sigs").alias("key"))
+    # one row of each representative set; an id with several texts can be the rep of several
+    mine = able.join(reps.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).dropDuplicates(["rep", "_k1", "_k2"])
+    prefixes = mine.select("rep", F.xxhash64("_k1", "_k2").alias("set"), F.explode("sigs").alias("key"))
     live = (
         prefixes.groupBy("key")
-        .agg(F.count("*").alias("_n"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+        .agg(F.count("*").alias("_n"), F.min("rep").alias("low"), F.bit_xor("set").alias("x"))
         .filter("_n > 1")
-        .groupBy("low", "x", "_n")  # blocks of the same documents are one block
+        .groupBy("low", "x", "_n")  # blocks of the same sets, each there once, are one block
         .agg(F.min("key").alias("key"))
         .select("key", "_n")
     )
     live = materialise(live)
-    blocks = prefixes.join(live.select(F.col("key")).hint("shuffle_hash"), "key")
+    blocks = prefixes.select("rep", "key").join(live.select(F.col("key")).hint("shuffle_hash"), "key").distinct()
     points = mine.select("rep", "n", "counts")
     with_counts = materialise(_tasks(blocks, "key", live, "rep", cap))
     n_rows = with_counts.count()

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import TABLES, rows
 from gridloom.llm import hnsw, hostrules, jaccard, lines, mixing, packing, queries, toxicity, urllist, warc, wavelet
@@ -262,3 +263,18 @@ def test_op9_audit_without_evidence_accepts_no_beam():
     x = hnsw._unit(np.vstack([rng.normal(size=(500, 32)), q[1:4] + 0.001 * rng.normal(size=(3, 32))]))
     a, b, _ = hnsw.linked_pairs(_cut_off(x, np.arange(500, 503)), q, 0.93, 32, 64, 0.99)
     assert sorted(zip(a.tolist(), b.tolist())) == [(1, 500), (2, 501), (3, 502)]
+
+
+def test_op6_of_doubled_rows_and_of_ids_with_several_texts(spark):
+    """Blocks {1, 5} and {1, 9} of rows that occur twice are two blocks, whichever holds the link."""
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    data = []
+    for k in range(80):  # the second document is a near copy of the first, the third holds the first one's end
+        one = words(k, 60)
+        data += [(10 * k, one), (10 * k + 1, one[:56] + words(f"{k}b", 3)), (10 * k + 2, one[52:] + words(f"{k}c", 40))]
+    single = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    several = single.union(single.select("doc_id", F.concat("text", F.lit(" and an end"))))
+    parts = lambda t: {(r["doc_id"], r["component_id"]) for r in jaccard.components(t).collect()}
+    want = {(i, i - 1 if i % 10 == 1 else i) for i, _ in data}
+    assert len(want - parts(single.union(single))) == 0
+    assert len(want - parts(several)) == 0
