@@ -95,6 +95,13 @@ def pixel_centred_window(spark, sf_dir):
     return tiles.centred_window(r, r.filter("pixel_id % 500 = 0"), 5, "cls")
 
 
+@query("pixel_centred_window_all", None)
+def pixel_centred_window_all(spark, sf_dir):
+    """The window around each valid pixel; no SQL, held to brute force."""
+    r = raster(spark, sf_dir)
+    return tiles.centred_window(r, r.filter("valid"), 5, "cls")
+
+
 def strat(cls: str, src: str) -> str:
     return f"""o AS (SELECT patch_id, {cls} AS cls, row_number() OVER (PARTITION BY {cls} ORDER BY md5(CAST(patch_id AS VARCHAR)), patch_id) AS r, count(*) OVER (PARTITION BY {cls}) AS n FROM {src})"""
 

@@ -45,3 +45,15 @@ def test_diagonal_blobs_join_only_with_eight_neighbours(spark):
     grid = spark.createDataFrame([(y, x, 1 if (y, x) in cells else 0) for y in range(6) for x in range(6)], "y int, x int, cls int")
     count = lambda diagonal: focal.components(grid, diagonal).filter("cls = 1").select("comp").distinct().count()
     assert (count(False), count(True)) == (2, 1)
+
+
+def test_windows_around_every_valid_pixel(spark):
+    from gridloom.plans import fixtures
+
+    cells = {(r["y"], r["x"]): r for r in fixtures.raster(spark, SF).collect()}
+    want = {
+        (y, x, dy, dx): cells[y + dy - 2, x + dx - 2]["cls"] if (y + dy - 2, x + dx - 2) in cells else 0
+        for (y, x), r in cells.items() if r["valid"] for dy in range(5) for dx in range(5)
+    }
+    got = registry.QUERIES["pixel_centred_window_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["cy"], r["cx"], r["dy"], r["dx"]): r["cls"] for r in got} == want
