@@ -78,6 +78,13 @@ def norm_pretrained(spark, sf_dir):
     return rounded(e, 5)
 
 
+@query("norm_pretrained_all", """SELECT vec_id AS image, pos, round(CASE pos WHEN 0 THEN (v - 485e-3) / 229e-3 WHEN 1 THEN (v - 456e-3) / 224e-3 WHEN 2 THEN (v - 406e-3) / 225e-3 ELSE (v - 5e-1) / 5e-1 END, 5) AS value
+FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)""")
+def norm_pretrained_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode(normalize.pretrained(F.col("embedding"))).alias("pos", "value"))
+    return rounded(e, 5)
+
+
 @query("norm_fallback", f"""WITH {E}, s AS (SELECT image, min(value) AS lo, max(value) AS hi FROM e GROUP BY image)
 SELECT image, pos, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END, 5) AS value FROM e JOIN s USING (image)""")
 def norm_fallback(spark, sf_dir):
@@ -107,6 +114,12 @@ def reflectance_scale(spark, sf_dir):
     return rounded(normalize.scale_reflectance(r, "y"))
 
 
+@query("reflectance_scale_all", f"WITH {R}, s AS (SELECT y, max(cust) > 100 AS big FROM r GROUP BY y) SELECT r.y, r.x, round(CASE WHEN big THEN cust / 1e4 ELSE cust END, 6) AS value FROM r JOIN s USING (y)")
+def reflectance_scale_all(spark, sf_dir):
+    r = raster(spark, sf_dir).select("y", "x", F.col("cust").alias("value"))
+    return rounded(normalize.scale_reflectance(r, "y"))
+
+
 @query("clean_non_finite", f"WITH {R} SELECT y, x, CASE WHEN pred = 0 OR pred = 1 OR pred = 2 THEN 0e0 ELSE price END AS value FROM r")
 def clean_non_finite(spark, sf_dir):
     bad = F.when(F.col("pred") == 0, F.lit(float("nan"))).when(F.col("pred") == 1, F.lit(float("inf"))).when(F.col("pred") == 2, F.lit(None).cast("double"))

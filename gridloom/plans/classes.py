@@ -171,6 +171,12 @@ def metrics_weighted(spark, sf_dir):
     return rounded(metrics.summary(metrics.confusion(r, "cls", "pred10")).select("precision_weighted", "recall_weighted", "f1_weighted", "iou_weighted"))
 
 
+@query("metrics_weighted_all", f"WITH {PC} SELECT round(sum(precision * support) / sum(support), 6) AS precision_weighted, round(sum(recall * support) / sum(support), 6) AS recall_weighted, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(sum(iou * support) / sum(support), 6) AS iou_weighted FROM pc")
+def metrics_weighted_all(spark, sf_dir):
+    r = metrics.scored_pixels(raster(spark, sf_dir))
+    return rounded(metrics.summary(metrics.confusion(r, "cls", "pred10")).select("precision_weighted", "recall_weighted", "f1_weighted", "iou_weighted"))
+
+
 FIXED = PC.replace("lab AS (SELECT cls FROM s UNION SELECT pred FROM s)", "lab AS (SELECT CAST(i AS INT) * 10 AS cls FROM range(0, 10) t(i))")
 
 

@@ -57,3 +57,28 @@ def test_windows_around_every_valid_pixel(spark):
     }
     got = registry.QUERIES["pixel_centred_window_all"](spark, SF).collect()
     assert len(got) == len(want) and {(r["cy"], r["cx"], r["dy"], r["dx"]): r["cls"] for r in got} == want
+
+
+def test_whole_queries_keep_all_rows(spark):
+    orders, e = spark.read.parquet(f"{SF}/orders.parquet"), spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert registry.QUERIES["reflectance_scale_all"](spark, SF).count() == orders.count()
+    assert registry.QUERIES["norm_pretrained_all"](spark, SF).count() == 64 * e.count()
+
+
+def test_reflectance_is_scaled_by_the_whole_image(spark):
+    from gridloom.operators import normalize
+
+    data = [(0, 0, 50.0), (0, 1, 60.0), (0, 2, 200.0), (1, 0, 50.0), (1, 1, 100.0)]
+    got = normalize.scale_reflectance(spark.createDataFrame(data, "y int, x int, value double"), "y").collect()
+    assert {(r["y"], r["x"]): r["value"] for r in got} == {(0, 0): 0.005, (0, 1): 0.006, (0, 2): 0.02, (1, 0): 50.0, (1, 1): 100.0}
+
+
+def test_three_scoring_rules(spark):
+    from gridloom.operators import metrics
+
+    data = [(0, 1), (10, 255), (10, 1), (20, 2), (255, 1), (-1, 1)]
+    df = spark.createDataFrame(data, "cls int, pred int")
+    kept = lambda rule: sorted((r["cls"], r["pred"]) for r in metrics.scored_pixels(df, rule).collect())
+    assert kept("positive_truth") == [(10, 1), (10, 255), (20, 2), (255, 1)]
+    assert kept("known") == [(-1, 1), (10, 1), (20, 2), (255, 1)]
+    assert kept("byte") == [(0, 1), (10, 1), (10, 255), (20, 2)]
