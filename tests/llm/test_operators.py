@@ -115,14 +115,53 @@ def test_op3_rejects_a_failing_host(spark):
 
 
 def test_op5_takes_its_targets(spark):
-    got = queries.QUERIES["op5_entropy_balancing"](spark, SF).collect()
-    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    taken, target = {}, {}
+    """Targets by plain water-filling; taken words within the size of a typical document."""
+    size, n = {}, {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect():
+        n[r["doc_id"]] = len(WORDS(r["text"] or ""))
+        size[r["source"]] = size.get(r["source"], 0) + n[r["doc_id"]]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, goal, full = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, set()
+    while True:
+        left = 1.5 * sum(size.values()) - sum(2 * size[s] for s in full)
+        goal = {s: 2 * size[s] if s in full else left * weight[s] / sum(weight[x] for x in order if x not in full) for s in order}
+        over = {s for s in order if goal[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
+    taken = {}
+    for r in queries.QUERIES["op5_entropy_balancing"](spark, SF).collect():
+        s = source[r["doc_id"]]
+        assert r["size"] == n[r["doc_id"]] and r["source_size"] == size[s] and abs(r["target"] - goal[s]) < 1e-6 * (1 + goal[s])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= max(0.01 * goal[s], 20) for s in size)
+
+
+def test_op5_rates_solve_the_dual(spark):
+    """Two sources, two groups: sources are met exactly, the group's multiplier against a plain root search."""
+    s = {("a", 0): 1000.0, ("a", 1): 3000.0, ("b", 0): 4000.0, ("b", 1): 500.0}
+    sums = spark.createDataFrame([(x, k, int(v)) for (x, k), v in s.items()], "source string, k int, s long")
+    targets = spark.createDataFrame([("a", 4000, 4000.0), ("b", 4500, 3000.0)], "source string, source_size long, target double")
+    goal, shares = {"a": 4000.0, "b": 3000.0}, [3700.0, 3300.0]
+    got = {(r["source"], r["k"]): r["rate"] for r in mixing.entropy_rates(sums, targets, shares, cap=2.0, ridge=0.1).collect()}
+    for x, g in goal.items():
+        assert abs(sum(s[x, k] * got[x, k] for k in (0, 1)) - g) < 1e-6 * g
+    # exponential tilting: the ratio of the two groups' rates is the same in both sources, and the dual's gradient is 0
+    tilt = [np.log(got[x, 0] / got[x, 1]) for x in goal]
+    assert abs(tilt[0] - tilt[1]) < 1e-6 and max(got.values()) < 2
+    off = [shares[k] - sum(s[x, k] * got[x, k] for x in goal) for k in (0, 1)]
+    assert abs(off[0] / (0.1 * shares[0]) - off[1] / (0.1 * shares[1]) - tilt[0]) < 1e-4
+
+
+def test_op5_awkward_rows(spark, awkward):
+    got = mixing.planned(awkward).collect()
+    per = {}
     for r in got:
-        taken[r["source_size"], r["target"]] = taken.get((r["source_size"], r["target"]), 0) + r["taken"]
-    for (size, goal), n in taken.items():
-        assert goal <= 2 * size and abs(n - goal) <= max(0.01 * goal, 20)
-    assert abs(sum(g for _, g in taken) - 1.5 * sum(s for s, _ in taken)) < 1e-3 * sum(s for s, _ in taken)
+        per.setdefault((r["source_size"], r["target"]), []).append(r)
+        assert 0 <= r["copies"] <= 2 and (r["size"] > 0 or r["doc_id"] in (None, 2, 3, 4))
+    assert sorted(per) == [(2, 4.0), (120018, 180026.0)]
 
 
 def test_op6_against_all_pairs(spark, docs):
@@ -148,6 +187,52 @@ def test_op6_against_all_pairs(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def links_of(sets):
+    """component of each index by all pairs of sets."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("cap", [7, 1000])
+def test_op6_chained_copies_and_a_shared_passage(spark, cap):
+    """A group of chained near copies and texts that share a passage, in chunks of any size."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(90)]
+    shared = [f"s{i}" for i in range(40)]
+    texts = []
+    for k in range(60):  # each copy changes 0 to 8 words of the base: many pairs link only through others
+        w = list(base)
+        for i in rng.choice(90, rng.integers(0, 9), replace=False):
+            w[i] = f"c{k}x{i}"
+        texts.append(w)
+    texts += [shared + [f"u{k}x{i}" for i in range(int(rng.integers(1, 60)))] for k in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = jaccard.components(docs, cap=cap, cap_shingles=2000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(x), c) for (i, x), c in zip(enumerate(sets), links_of(sets))}
+
+
+def test_keep_one_of_repeated_ids(spark):
+    """Unlinked texts of one id stay, rows that repeat id and text become one, wordless and nameless rows stay."""
+    near = [f"n{i}" for i in range(60)]
+    data = [(1, " ".join(near)), (2, " ".join(near[:58] + ["x", "y"])), (2, None), (2, None), (4, "one text of its own"), (4, "and quite another one"),
+            (5, "twice the same row here"), (5, "twice the same row here"), (None, "no id"), (None, "no id"), (6, "")]
+    got = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [x for k, x in enumerate(data) if k not in (1, 7)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_op9_against_all_pairs(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     v = np.array([r["embedding"] for r in table], np.float64)
@@ -200,7 +285,7 @@ RUNS = {
     "wavelet": lambda s, d: wavelet.read_shards(s, wavelet.write_shards(d)),
     "rules": lambda s, d: hostrules.host_rules(d),
     "packing": lambda s, d: packing.encode_documents(d),
-    "mixing": lambda s, d: mixing.mix(d),
+    "mixing": lambda s, d: mixing.planned(d),
     "jaccard": lambda s, d: jaccard.components(d),
     "lines": lambda s, d: lines.drop_repeated_lines(d),
     "toxicity": lambda s, d: toxicity.score(d, s.createDataFrame([], "doc_id long, toxic int")),
