@@ -2,8 +2,8 @@
 
 Intermediate tables are written below the folder that the session names in
 ``spark.checkpoint.dir`` (shared by driver and executors), so lineage is cut by
-data that survives a lost executor.  Only where the session names none, as in
-tests, a temporary folder of the driver is used.
+data that survives a lost executor.  Only where the session names none and the
+master is local, as in tests, a temporary folder of the driver is used.
 """
 
 from __future__ import annotations
@@ -32,17 +32,40 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get()
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes an execution's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back with the same schema.
+
+    The shuffle files behind it are of no more use then and are removed.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._gridloom_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._gridloom_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -77,8 +100,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     component is the smallest node that is reachable.  Alternates large-star and
     small-star steps (each a groupBy with map-side minimum) until the edge set
-    is stable; every round is written to the shared folder.  Nodes without an
-    edge do not appear.  Empty edges give an empty frame.
+    is stable; every round is written to the shared folder and the round before
+    it deleted.  Nodes without an edge do not appear.  Empty edges give an empty
+    frame.
     """
     e = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -95,7 +119,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nxt = small.filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v"))
         ).distinct()
-        e = materialise(nxt)
+        last, e = e, materialise(nxt)
+        discard(last)
         now = e.agg(
             F.count("*"),
             F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))"),

@@ -1,15 +1,17 @@
 """Operator 6: n-gram Jaccard join through R-trees over group counts.
 
-Documents are sets of hashed five-word shingles.  Equal sets fold into one
-representative.  Blocks bring possible partners together without loss: a pair of
-similarity 0.8 shares one of the first ``n - ceil(0.8 n) + 1`` shingles of either
-set in any common order, here hash order with frequent shingles last.  Inside a
-block the shingles of each set are counted by hash group; the counts are points
-of an R-tree, and a subtree is left out where the summed coordinate minima of a
-query and the subtree's upper corner cannot reach the needed overlap.  Pairs
-that stay connect documents into candidate components; there an R-tree over the
-whole component proposes pairs and exact set intersections verify them.  Pairs already
-connected need no verification, so a group of m copies costs about m of them.
+Documents are sets of hashed five-word shingles.  Equal sets are one node.
+Blocks bring possible partners together without loss: a pair of similarity 0.8
+shares one of the first ``n - ceil(0.8 n) + 1`` shingles of either set in any
+common order, here hash order with frequent shingles last.  The shingles of each
+set are counted by hash group, and the counts are points; summed coordinate
+minima bound the overlap of two sets.  Each block's smallest and largest node
+are compared with its other members first; blocks that this leaves in several
+parts get an R-tree, where a subtree is left out if its upper corner cannot
+reach the needed overlap.  Pairs that stay connect nodes into candidate
+components; there an R-tree over the whole component proposes pairs and exact
+set intersections verify them.  Pairs already connected need no verification, so
+a group of m copies costs about m of them.
 
 Blocks and components above ``cap`` rows are cut into chunks that meet pair by
 pair, so no task holds an unbounded group.
@@ -21,19 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, bounded, connected, materialise, ship
+from .common import OWN, bounded, connected, discard, materialise, ship
 
 #: Groups of a set of n shingles: the power of two below n / 3 within these bounds, so that
 #: a group holds 3 to 6 shingles and unrelated sets of any size stay below the bound.
 FEWEST, MOST = 16, 1 << 16
 
+#: Shingle hashes fall into 2**BITS buckets (by their high bits) whose frequency orders prefixes.
+BITS = 22
+
 SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("text_hash", T.LongType()),
         T.StructField("n", T.LongType()),
-        T.StructField("k1", T.LongType()),
-        T.StructField("k2", T.LongType()),
+        T.StructField("node", T.LongType()),
         T.StructField("counts", T.BinaryType()),
         T.StructField("sigs", T.ArrayType(T.LongType())),
     ]
@@ -42,12 +46,12 @@ SIGNED = T.StructType(
 _hashes: dict[bytes, int] = {}
 
 
-def shingles(text: str | None, words: int = 5):
-    """Sorted distinct 64-bit hashes of a text's shingles (uint64)."""
+def raw_shingles(text: bytes | None, words: int = 5):
+    """64-bit hashes of a text's shingles in order, repeats included (uint64)."""
     import numpy as np
     import xxhash
 
-    w = (text or "").encode("utf-8", "replace").lower().split()
+    w = (text or b"").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
     if len(_hashes) > 1_000_000:
@@ -65,11 +69,21 @@ def shingles(text: str | None, words: int = 5):
     odd = np.uint64(0x9E3779B97F4A7C15)
     s = h[: len(h) - words + 1].copy()
     for k in range(1, words):
-        s = s * odd + h[k : len(h) - words + 1 + k]
+        s *= odd
+        s += h[k : len(h) - words + 1 + k]
     s ^= s >> np.uint64(32)
     s *= np.uint64(0xD6E8FEB86659FD93)
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return s
+
+
+def shingles(text: bytes | None):
+    """Sorted distinct hashes of a text's shingles."""
+    import numpy as np
+
+    s = raw_shingles(text)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def group_counts(s):
@@ -208,41 +222,68 @@ def _roots(n, x, y):
             return root
 
 
-def _sign(docs: DataFrame, hot) -> DataFrame:
-    """Per document its set's size, 128-bit key, group counts and prefix shingles."""
+def plausible_pair(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether two sets of n and m shingles with these packed counts can be similar."""
+    import numpy as np
+
+    if 5 * n < 4 * m or 5 * m < 4 * n:
+        return False
+    x, y = unpack_counts(a).astype(np.int32), unpack_counts(b).astype(np.int32)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) == 2 * len(x):
+        y = y.reshape(2, len(x)).sum(axis=0)
+    return 9 * int(np.minimum(x, y).sum()) >= 4 * (n + m)
+
+
+def _sign(docs: DataFrame, rarity) -> DataFrame:
+    """Per document its set's size, key, group counts and prefix shingles.
+
+    Counts and prefix are null where the task has just met the same set.
+    """
     import pyarrow as pa
 
     def rows(batches):
         import numpy as np
         import xxhash
 
-        often = hot.value
+        order = np.frombuffer(rarity.value, np.uint8)
+        by_text, met = {}, set()
         for batch in batches:
-            out, size = {f: [] for f in SIGNED.names[2:]}, 0
-            at = 0
+            out, size, at = {f: [] for f in SIGNED.names[2:]}, 0, 0
             for i, text in enumerate(batch.column(2)):
-                s = shingles(text.as_py())
-                n = len(s)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                prefix = n - -(-4 * n // 5) + 1 if n else 0
-                if len(often) and prefix:
-                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    first = s[~late][:prefix]
-                    s_prefix = np.concatenate([first, s[late][: prefix - len(first)]])
-                else:
-                    s_prefix = s[:prefix]
-                out["n"].append(n)
-                out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
-                out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
-                out["counts"].append(pack_counts(group_counts(s)))
-                out["sigs"].append(s_prefix.view(np.int64))
-                size += prefix
+                text = text.as_py() or b""
+                name = xxhash.xxh3_128_digest(text)
+                known = by_text.get(name)
+                counts = prefix = None
+                if known is None:
+                    s = shingles(text)
+                    key = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+                    known = (len(s), key)
+                    if len(by_text) >= 100_000:
+                        by_text.clear()
+                        met.clear()
+                    by_text[name] = known
+                    if len(s) and key not in met:
+                        met.add(key)
+                        take = len(s) - -(-4 * len(s) // 5) + 1
+                        late = order[(s >> np.uint64(64 - BITS)).astype(np.int64)]
+                        if late.any():
+                            s_ordered = s[np.argsort(late, kind="stable")[:take]]
+                        else:
+                            s_ordered = s[:take]
+                        counts, prefix = pack_counts(group_counts(s)), s_ordered.view(np.int64)
+                        size += take
+                out["n"].append(known[0])
+                out["node"].append(known[1])
+                out["counts"].append(counts)
+                out["sigs"].append(prefix)
                 if size > 200_000 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(at, i + 1 - at),
                             batch.column(1).slice(at, i + 1 - at),
-                            *[pa.array(out[f], pa.int64()) for f in ("n", "k1", "k2")],
+                            *[pa.array(out[f], pa.int64()) for f in ("n", "node")],
                             pa.array(out["counts"], pa.binary()),
                             pa.array(out["sigs"], pa.list_(pa.int64())),
                         ],
@@ -253,105 +294,123 @@ def _sign(docs: DataFrame, hot) -> DataFrame:
     return docs.mapInArrow(rows, SIGNED)
 
 
-def frequent_shingles(docs: DataFrame, *, chunk_docs: int = 4000, chunk_min: int = 6, most: int = 400_000):
-    """A sorted array of at most ``most`` frequent shingle hashes, to be ordered last.
+def shingle_rarity(docs: DataFrame, *, chunk: int = 4_000_000, least: int = 10) -> bytes:
+    """A class of 0 (rare) to 255 for each of the 2**BITS buckets of shingle hashes, one byte each.
 
-    Every document is counted, in chunks of a task; a shingle enters with its
-    counts of chunks that hold it ``chunk_min`` times.  The list only sets an
-    order that all documents share: whatever it holds, no pair is lost.
+    Every shingle of every document is counted, in chunks of a task; a bucket
+    adds its counts of chunks that hold it clearly more often than their mean.
+    The classes only set an order that all documents share: whatever they say,
+    no pair is lost.
     """
     import numpy as np
     import pyarrow as pa
 
     def rows(batches):
-        held, docs_held, size = [], 0, 0
+        held, size = [], 0
 
         def close():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            ok = n >= chunk_min
-            return pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok])], names=["h", "n"])
+            c = np.bincount((np.concatenate(held) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            often = np.nonzero(c >= least + 4 * size // len(c))[0]
+            return pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(c[often])], names=["bucket", "n"])
 
         for batch in batches:
             for text in batch.column(2):
-                held.append(shingles(text.as_py()))
-                docs_held += 1
+                held.append(raw_shingles(text.as_py()))
                 size += len(held[-1])
-                if docs_held >= chunk_docs or size > 4_000_000:
+                if size > chunk:
                     yield close()
-                    held, docs_held, size = [], 0, 0
+                    held, size = [], 0
         if held:
             yield close()
 
-    top = docs.mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)
-    return np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))
+    got = docs.mapInArrow(rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    order = np.zeros(1 << BITS, np.uint8)
+    if got.num_rows:
+        order[np.asarray(got.column("bucket"))] = 1 + np.log2(np.asarray(got.column("n"))).astype(np.uint8)
+    return order.tobytes()
 
 
-def _tasks(rows: DataFrame, key: str, size: DataFrame, node: str, cap: int) -> DataFrame:
-    """Deal ``rows`` of each ``key`` to tasks of bounded size: adds task and side.
+def _tasks(rows: DataFrame, key: str, size: DataFrame, node: str) -> DataFrame:
+    """Deal ``rows`` of each ``key`` to tasks of bounded size: adds _k, _c, _i and _j.
 
-    Keys of up to ``cap`` rows share bins.  A larger key is salted into chunks,
-    and each pair of chunks is a task (side: which of the two a row is in).
+    ``size`` has the number of chunks (_k) of each key.  Keys of one chunk share
+    bins.  Of a larger key each pair of chunks is a task.
     """
-    j = rows.join(size, key).withColumn("_k", F.ceil(F.col("_n") / cap).cast("int"))
-    salt = F.pmod(F.xxhash64(F.lit(5), node), F.col("_k")).cast("int")
-    j = j.withColumn("_c", salt)
+    j = rows.join(size, key)
+    j = j.withColumn("_c", F.pmod(F.xxhash64(F.lit(5), node), F.col("_k")).cast("int"))
     # chunk c meets every chunk; the pair (i, j), i <= j, is one task
     other = F.explode(F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return (
-        j.select("*", other.alias("_o"))
-        .withColumns({"_i": F.least("_c", "_o"), "_j": F.greatest("_c", "_o")})
-        .drop("_o", "_n")
-    )
+    return j.select("*", other.alias("_o")).withColumns({"_i": F.least("_c", "_o"), "_j": F.greatest("_c", "_o")}).drop("_o")
 
 
-def _edges_of_blocks(rows: DataFrame, bins: int) -> DataFrame:
-    """(a, b) spanning edges of the pairs that the group-count bound leaves, for each block."""
+def _binned(tasks: DataFrame, key: str, bins: int) -> DataFrame:
+    own = F.xxhash64(key, "_i", "_j")
+    return tasks.withColumn("_bin", F.when(F.col("_k") == 1, F.pmod(F.xxhash64(key), F.lit(bins))).otherwise(own))
+
+
+def _groups(t, key: str):
+    """Row index arrays of each (key, _i, _j) of an Arrow table."""
+    import numpy as np
+
+    keys = np.stack([np.asarray(t.column(x)).astype(np.int64) for x in (key, "_i", "_j")])
+    order = np.lexsort(keys)
+    cuts = np.nonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0))[0] + 1
+    return [g for g in np.split(order, cuts) if len(g) > 1]
+
+
+def _star_edges(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, n, m, x, y) whose counts x and y allow similarity."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for t in batches:
+            n, m, x, y = (t.column(c) for c in ("n", "m", "x", "y"))
+            ok = [plausible_pair(x[i].as_py(), y[i].as_py(), n[i].as_py(), m[i].as_py()) for i in range(t.num_rows)]
+            yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return pairs.mapInArrow(rows, "a long, b long")
+
+
+def _edges_of_blocks(tasks: DataFrame, bins: int) -> DataFrame:
+    """(a, b) spanning edges of the pairs that the group-count bound leaves, for each block.
+
+    Rows of equal ``part`` are connected already.
+    """
     import pyarrow as pa
 
     def work(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        node = np.asarray(t.column("rep"))
-        n = np.asarray(t.column("n"))
-        c = t.column("counts")
-        keys = np.stack([np.asarray(t.column(x)).astype(np.int64) for x in ("key", "_i", "_j")])
-        order = np.lexsort(keys)
-        cuts = np.nonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0))[0] + 1
+        node, part, n, c = np.asarray(t.column("node")), np.asarray(t.column("part")), np.asarray(t.column("n")), t.column("counts")
         out_a, out_b = [], []
-        for rows_ in np.split(order, cuts):
-            if len(rows_) < 2:
-                continue
+        for rows_ in _groups(t, "key"):
             rows_ = rows_[np.argsort(node[rows_], kind="stable")]
+            if (part[rows_] == part[rows_[0]]).all():
+                continue
             x, y = plausible([unpack_counts(c[int(i)].as_py()) for i in rows_], n[rows_])
-            root = _roots(len(rows_), x, y)
+            cross = part[rows_[x]] != part[rows_[y]]
+            root = _roots(len(rows_), x[cross], y[cross])
             hang = np.nonzero(root != np.arange(len(rows_)))[0]
             out_a.append(node[rows_[hang]])
             out_b.append(node[rows_[root[hang]]])
         e = np.zeros(0, np.int64)
-        a, b = np.concatenate([e, *out_a]), np.concatenate([e, *out_b])
-        both = np.unique(np.stack([a, b]), axis=1)
+        both = np.unique(np.stack([np.concatenate([e, *out_a]), np.concatenate([e, *out_b])]), axis=1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
-    binned = rows.withColumn("_bin", F.when(F.col("_k") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "_i", "_j")))
-    return binned.groupBy("_bin").applyInArrow(work, "a long, b long")
+    return _binned(tasks, "key", bins).groupBy("_bin").applyInArrow(work, "a long, b long")
 
 
-def _verified(rows: DataFrame, bins: int) -> DataFrame:
+def _verified(tasks: DataFrame, bins: int) -> DataFrame:
     """(a, b) links, spanning, from (component, node, text) tasks; every link has been verified."""
     import pyarrow as pa
 
     def work(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        node = np.asarray(t.column("node"))
-        keys = np.stack([np.asarray(t.column(x)).astype(np.int64) for x in ("component", "_i", "_j")])
-        order = np.lexsort(keys)
-        cuts = np.nonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0))[0] + 1
+        node, texts = np.asarray(t.column("node")), t.column("text")
         out = []
-        for rows_ in np.split(order, cuts):
-            if len(rows_) < 2:
-                continue
-            sets = [shingles(t.column("text")[int(i)].as_py()) for i in rows_]
+        for rows_ in _groups(t, "component"):
+            sets = [shingles(texts[int(i)].as_py()) for i in rows_]
             x, y = plausible([group_counts(s) for s in sets], np.array([len(s) for s in sets]))
             keep = x < y
             x, y = x[keep], y[keep]
@@ -371,80 +430,120 @@ def _verified(rows: DataFrame, bins: int) -> DataFrame:
                     out.append((int(node[rows_[i]]), int(node[rows_[j]])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    binned = rows.withColumn(
-        "_bin", F.when(F.col("_k") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "_i", "_j"))
-    )
-    return binned.groupBy("_bin").applyInArrow(work, "a long, b long")
+    return _binned(tasks, "component", bins).groupBy("_bin").applyInArrow(work, "a long, b long")
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap: int = 1000) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for every row.
+def _candidates(signed: DataFrame, cap: int) -> DataFrame:
+    """(node, component, n): components of the pairs that share a prefix shingle and pass the count bound.
 
-    Texts without words (null, empty, blank) have no shingles and are linked
-    with nothing.  Rows that share an id share its component; a null id is
-    linked with nothing and has a null component.
+    Each block's smallest and largest set are compared with all its members
+    first, each pair once over all blocks.  What that connects needs no further
+    comparison, and blocks of up to three sets are done; the others go to R-trees.
     """
+    points = signed.filter(F.col("counts").isNotNull())
+    prefixes = points.select("node", F.explode("sigs").alias("key"))
+    live = materialise(prefixes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"))
+    joined = materialise(prefixes.join(live, "key"))
+    blocks = materialise(joined.distinct())  # exact copies met in several tasks
+    discard(live, joined)
+    stars = blocks.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("node").alias("b")).filter("a <> b")
+    stars = materialise(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = blocks.select("node").distinct()
+    points = materialise(points.select("node", "n", "counts").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    pairs = stars.join(points.select(F.col("node").alias("a"), "n", F.col("counts").alias("x")), "a")
+    pairs = pairs.join(points.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y")), "b")
+    near = materialise(_star_edges(pairs.select("a", "b", "n", "m", "x", "y")))
+    first = materialise(connected(near).distinct())
+    placed = blocks.join(first.select("node", F.col("component")), "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("part")
+    )
+    placed = materialise(placed)
+    open_ = (
+        placed.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        .filter("n > 3 and p < q")
+        .groupBy("low", "x", "n")  # blocks of the same sets are one block
+        .agg(F.min("key").alias("key"))
+    )
+    open_ = materialise(open_.select("key", F.ceil(F.col("n") / cap).cast("int").alias("_k")))
+    tasks = materialise(_tasks(placed, "key", open_, "node"))
+    more = materialise(_edges_of_blocks(tasks.join(points, "node"), max(16, tasks.count() // 4000)))
+    coarse = connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    out = materialise(coarse.distinct().join(points.select("node", "n"), "node"))
+    discard(blocks, stars, points, near, first, placed, open_, tasks, more)
+    return out
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, cap: int, cap_shingles: int) -> DataFrame:
+    """What :func:`components` returns, with the component's own label (null: linked with nothing, ever)."""
     spark = docs.sparkSession
     ship(spark)
     t = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-        F.col(text_col).cast("string").alias("text"),
+        F.col(text_col).cast("string").cast("binary").alias("text"),
     )
-    hot = spark.sparkContext.broadcast(frequent_shingles(t))
-    signed = materialise(_sign(t, hot), codec="none")
-    able = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    one = F.min(F.struct("doc_id", "text_hash"))
-    reps = materialise(able.groupBy("k1", "k2").agg(one.alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash")))
-    # one row of each representative set; an id with several texts can be the rep of several
-    mine = able.join(reps.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).dropDuplicates(["rep", "_k1", "_k2"])
-    prefixes = mine.select("rep", F.xxhash64("_k1", "_k2").alias("set"), F.explode("sigs").alias("key"))
-    live = (
-        prefixes.groupBy("key")
-        .agg(F.count("*").alias("_n"), F.min("rep").alias("low"), F.bit_xor("set").alias("x"))
-        .filter("_n > 1")
-        .groupBy("low", "x", "_n")  # blocks of the same sets, each there once, are one block
-        .agg(F.min("key").alias("key"))
-        .select("key", "_n")
-    )
-    live = materialise(live)
-    blocks = prefixes.select("rep", "key").join(live.select(F.col("key")).hint("shuffle_hash"), "key").distinct()
-    points = mine.select("rep", "n", "counts")
-    with_counts = materialise(_tasks(blocks, "key", live, "rep", cap))
-    n_rows = with_counts.count()
-    edges = _edges_of_blocks(with_counts.join(points, "rep"), max(16, n_rows // 4000))
-    coarse = materialise(connected(edges).distinct())
-    sizes = materialise(coarse.groupBy("component").agg(F.count("*").alias("_n")))
-    members = bounded(coarse)
-    held = t.join(members, F.col("doc_id") == F.col("node")).join(
-        reps.select(F.col("rep").alias("_r"), "rep_hash"), (F.col("node") == F.col("_r")) & (F.col("text_hash") == F.col("rep_hash")), "left_semi"
+    rarity = spark.sparkContext.broadcast(shingle_rarity(t))
+    signed = _sign(t, rarity).withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")))
+    signed = materialise(signed.withColumns({c: F.when(F.col("node").isNotNull(), F.col(c)) for c in ("counts", "sigs")}), codec="none")
+    coarse = _candidates(signed, cap)
+    # one row of each candidate set holds the text that is verified
+    members = signed.filter("node is not null").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    reps = materialise(members.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "times")).alias("r")).select("node", "r.*"))
+    chosen = materialise(coarse.join(reps, "node").select("node", "component", "doc_id", "text_hash", "times"))
+    held = t.join(bounded(chosen.drop("times")), ["doc_id", "text_hash"]).select("component", "node", "text")
+    if not chosen.filter("times > 1").isEmpty():  # rows that repeat id and text
+        held = held.dropDuplicates(["node"])
+    of_part = coarse.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = materialise(of_part.select("component", F.ceil(F.greatest(F.col("rows") / cap, F.col("shingles") / cap_shingles)).cast("int").alias("_k")))
+    n = coarse.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    tasks = _tasks(held, "component", bounded(sizes), "node")
+    links = materialise(_verified(tasks, max(16, n["rows"] // 500, n["shingles"] // 250_000)))
+    found = materialise(connected(links).distinct())
+    smallest = found.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    per_node = materialise(
+        reps.join(found.join(smallest, "component"), "node", "left").select(
+            "node", F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("label")
+        )
     )
-    tasks = _tasks(held.select("component", "node", "text"), "component", bounded(sizes), "node", cap)
-    links = materialise(_verified(tasks, max(16, coarse.count() // 500)))
-    found = connected(links).select(F.col("node").alias("_node"), "component").distinct()
-    per_rep = materialise(reps.join(found, F.col("rep") == F.col("_node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")))
-    out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2")
-    return (
-        out.withColumn("_j1", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("k1")))
-        .join(per_rep.withColumnsRenamed({"k1": "_j1", "k2": "_j2"}), ["_j1"], "left")
-        .filter(F.col("_j2").isNull() | (F.col("_j2") == F.col("k2")))
-        .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(coarse, reps, chosen, sizes, links, found)
+    return signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(per_node, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label"
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with one row of each component, its smallest id; all columns stay.
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap: int = 1000, cap_shingles: int = 1_000_000) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id for every row.
+
+    Texts without words (null, empty, blank) have no shingles and are linked
+    with nothing.  Rows that repeat an id are documents of their own, and each
+    row's component_id is the smallest id that its links reach; equal rows stay.
+    A null id is linked with nothing and has a null component.  Sets, like
+    shingles, are told apart by 64 bits.  ``cap`` rows or ``cap_shingles``
+    shingles (8 bytes each) fill a chunk; a longer text is one.
+    """
+    return _labelled(docs, id_col, text_col, cap, cap_shingles).drop("label")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap: int = 1000, cap_shingles: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each component, its smallest id (then text hash); all columns stay.
 
-    Rows without words or id stay.  Of rows that repeat an id one stays.
+    Rows without words or without an id stay, all of them.  Of rows that repeat
+    both the kept id and its text one stays; unlinked texts of one id all stay.
     """
-    c = materialise(components(docs, id_col=id_col, text_col=text_col, **params))
-    gone = c.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(f"{OWN}id")).distinct()
-    kept = docs.join(bounded(materialise(gone)), F.col(id_col) == F.col(f"{OWN}id"), "left_anti")
-    again = c.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
+    c = materialise(_labelled(docs, id_col, text_col, cap, cap_shingles))
+    members = c.filter("label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = members.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    own = {"doc_id": f"{OWN}id", "text_hash": f"{OWN}hash"}
+    marked = members.join(first, "label").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
+    marked = materialise(marked.filter("not stays or times > 1").select("doc_id", "text_hash", "stays").withColumnsRenamed(own))
+    same = (F.col(id_col) == F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(f"{OWN}hash"))
+    kept = docs.join(bounded(materialise(marked.filter("not stays").drop("stays"))), same, "left_anti")
+    again = marked.filter("stays").drop("stays")
     if again.isEmpty():
         return kept
-    nameless = kept.filter(F.col(id_col).isNull())
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nameless)
+    again = bounded(materialise(again))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op6_rtree_jaccard(spark, sf_dir: str) -> DataFrame:
