@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard, lines, mixing, packing, toxicity
-from gridloom.llm.common import OWN, materialise
+from gridloom.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,16 +33,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0, 1 or 2 rows each)."""
-    plan = materialise(mixing.mix(docs).select("doc_id", "source", "size", "copies"))
-    # rows that share an id, source and size are dealt by their place among each other
-    again = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(f"{OWN}copies"), F.count("*").alias(f"{OWN}rows"))
-    again = again.select(F.col("doc_id").alias(f"{OWN}id"), F.col("source").alias(f"{OWN}source"), F.col("size").alias(f"{OWN}size"), F.ceil(F.col(f"{OWN}copies") / F.col(f"{OWN}rows")).cast("int").alias(f"{OWN}copies"))
-    j = docs.withColumn(f"{OWN}n", mixing.n_words(F.col("text"))).join(
-        again.filter(F.col(f"{OWN}copies") > 0),
-        F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & F.col("source").eqNullSafe(F.col(f"{OWN}source")) & (F.col(f"{OWN}n") == F.col(f"{OWN}size")),
-    )
-    return j.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col(f"{OWN}copies"))).alias(f"{OWN}copy")).select(*COLUMNS)
+    """Documents as often as the mix takes them (0, 1 or 2 rows each).
+
+    A null source is a source, a null language a group; texts without words are
+    taken by their rate; rows of equal id, text and source are dealt alike.
+    """
+    return mixing.repeat(docs).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
