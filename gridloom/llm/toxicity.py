@@ -59,7 +59,7 @@ def terms_of(word: str) -> list[str]:
 class Scanner:
     """Dense figures of a text under a lexicon {term: weight}; memo bounded by ``most`` words."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         self.lexicon, self.most, self.memo = lexicon, most, {}
         self.second = frozenset(SECOND)
         self.leet = str.maketrans(LEET)
@@ -99,7 +99,7 @@ class Scanner:
         upper = sum(map(str.isupper, text)) if not text.islower() else 0
         marks = text.count("!")
         punct = marks + sum(map(text.count, "?.,;:#*$%&|<>@"))
-        capital = sum(1 for w in _WORD(text) if len(w) > 2 and w.isupper()) if 4 * upper > size else 0
+        capital = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper > 0 else 0
         return [
             len(at) / n, log1p(len(at)), total / n, top, near / n, sum(map(second.__contains__, words)) / n,
             upper / size, capital / n, marks / size, punct / size, len(odd) / n, float(odd_hits), log1p(n),
@@ -127,12 +127,13 @@ def training_labels(labels: DataFrame, *, id_col: str, label_col: str, max_rows:
     return y.withColumn("h", h).orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y", F.pmod("h", F.lit(10)).alias("fold"))
 
 
-def learn_lexicon(texts: DataFrame, *, min_gain: float = 28.0, max_terms: int = 2000) -> dict[str, float]:
+def learn_lexicon(texts: DataFrame, *, min_gain: float = 28.0) -> dict[str, float]:
     """{term: weight} from (y, text): terms whose documents are mostly toxic, beyond chance.
 
     For each word or stem: documents and toxic documents that hold it; the
     likelihood-ratio gain over the base rate must pass ``min_gain`` (about what
-    the number of terms tried lets chance reach).  Weight: log odds, bounded.
+    the number of terms tried lets chance reach), so a term needs several documents
+    and the bounded labelled sample bounds the terms.  Weight: log odds, bounded.
     """
     import pyarrow as pa
 
@@ -144,11 +145,11 @@ def learn_lexicon(texts: DataFrame, *, min_gain: float = 28.0, max_terms: int =
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 have = set()
                 for w in set(_WORD((text.as_py() or "").lower())):
-                    have.update(terms_of(w[:64]))
+                    have.update(terms_of(w))
                 n.update(have)
                 if y:
                     x.update(have)
-            if len(n) > 2_000_000:
+            if len(n) > 300_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values())), pa.array([x[t] for t in n])], names=["term", "n", "x"])
                 n, x = Counter(), Counter()
         if n:
@@ -167,7 +168,7 @@ def learn_lexicon(texts: DataFrame, *, min_gain: float = 28.0, max_terms: int =
         + F.when(miss > 0, miss * F.log(miss / (F.col("n") * (1 - base)))).otherwise(0.0)
     )
     weight = F.least(F.lit(6.0), F.log((F.col("x") + 0.5) / (miss + 0.5)) - F.lit(math.log(base / (1 - base))))
-    found = t.select("term", gain.alias("gain"), weight.alias("weight")).filter(F.col("gain") > min_gain).orderBy(F.desc("gain"), "term").limit(max_terms)
+    found = t.select("term", gain.alias("gain"), weight.alias("weight")).filter(F.col("gain") > min_gain)
     return lexicon | {r["term"]: max(r["weight"], lexicon.get(r["term"], 0.0)) for r in found.collect()}
 
 
@@ -206,8 +207,11 @@ def score(
     """doc_id, text_hash, held_out, score, predicted for every row of ``docs``.
 
     ``max_rows`` bounds the labelled sample that is fitted.  Null texts are
-    empty ones; both get a score.  Without both classes among the labels that
-    may be learned from, the score is hits / (hits + 1) over the fixed list.
+    empty ones; both get a score.  Where trees or calibration would see fewer
+    than five rows of a class in rows of their own, both are fitted on all
+    labelled rows, the lexicon's included.  Without both classes among the labels
+    that may be learned from, the score is hits / (hits + 1) over the fixed list.
+    Rows that repeat an id or a text are scored each; a null id is never learned from.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -227,21 +231,23 @@ def score(
     counts = {r["k"]: (r["n"], r["x"]) for r in known.filter("fold > 4").groupBy((F.col("fold") > 7).alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("x")).collect()}
     few = lambda n, x: x < 5 or n - x < 5
     if any(few(*counts.get(k, (0, 0))) for k in (False, True)):
-        fit = tune = known  # too few labels to divide
+        fit = tune = known
         n, x = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-        if few(n, x):
+        if x in (0, n):
             hits = F.expm1("hit_log")
             s = f.select(*out, (hits / (hits + 1)).alias("score"))
             return s.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     pack = VectorAssembler(inputCols=FEATURES, outputCol="v")
     model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=11).fit(
-        pack.transform(fit.repartition(2, "y", *FEATURES)).select("y", "v")
+        pack.transform(fit).select("y", "v")
     )
 
     def raw(df):
         return model.transform(pack.transform(df)).withColumn("p", vector_to_array("probability")[1]).drop("v", "rawPrediction", "probability", "prediction")
 
-    iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="score").fit(raw(tune).select("y", "p").repartition(2, "y", "p"))
+    # rows of equal output weigh as one
+    levels = raw(tune).groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="score").fit(levels)
     scored = iso.transform(raw(f).select(*out, "p")).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).drop("p")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
