@@ -1,8 +1,9 @@
 """Operator 10 (native): line dedup over levelled sorted runs of line hashes.
 
 :class:`LineRuns` holds, per level, sorted runs of ``(h1, h2, n_docs)``: a
-128-bit hash of a line's key and the number of documents it was seen in.  A new
-batch is joined against the runs (``seen``) and then added as a level-0 run;
+128-bit hash of a line's key and a number of documents it was seen in.  A new
+batch is merge-anti-joined against the runs (``seen``), which tells its new lines
+from the known ones, whose counts go on; both are added as a level-0 run.
 ``fanout`` runs of a level are merged into one of the next.  Runs are tables in
 the shared folder.
 
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, bounded, materialise, scratch
+from .common import OWN, bounded, discard, free, materialise, scratch
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,40 +42,57 @@ def _h2(key):
 
 
 class LineRuns:
-    """Levelled runs of line hashes; ``levels[k]`` is a list of run paths."""
+    """Levelled runs of line hashes; ``levels[k]`` is a list of run paths.
+
+    A batch's lines that no run holds yet enter as they are; those of lines that
+    are known enter as further counts, which the merges of runs add up.
+    """
 
     def __init__(self, spark, fanout: int = 4):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
 
-    def _write(self, df: DataFrame) -> str:
-        path = scratch(self.spark)
-        df.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
-        return path
+    def _write(self, df: DataFrame) -> DataFrame:
+        return materialise(df.sortWithinPartitions("h1", "h2"))
 
-    def _sum(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n_docs long"
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def _sum(self, runs: list[DataFrame]) -> DataFrame:
+        if not runs:
+            return self.spark.range(0).selectExpr("id AS h1", "id AS h2", "id AS n_docs")
+        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
     def all(self) -> DataFrame:
         """(h1, h2, n_docs) over all runs."""
-        return self._sum([p for level in self.levels for p in level])
+        return self._sum([r for level in self.levels for r in level])
 
     def seen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` (with h1, h2) whose line is in no run yet."""
-        return keys.join(self.all(), ["h1", "h2"], "left_anti")
-
-    def add(self, keys: DataFrame) -> None:
-        """Add a batch with a row for each document and distinct line of it."""
-        self.levels[0].append(self._write(keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))))
+        return keys.join(self.all().select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Add a batch with a row for each document and distinct line of it.
+
+        Returns (h1, h2, n_docs): the batch's lines with their counts over all
+        batches so far.
+        """
+        batch = materialise(keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
+        new = materialise(self.seen(batch))
+        known = batch.join(self.all().withColumnRenamed("n_docs", "before").hint("merge"), ["h1", "h2"])
+        known = materialise(known.select("h1", "h2", "n_docs", (F.col("before") + F.col("n_docs")).alias("total")))
+        self.levels[0].append(self._write(new.union(known.drop("total"))))
+        discard(batch)
         k = 0
         while len(self.levels[k]) >= self.fanout:
             if k + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[k + 1].append(self._write(self._sum(self.levels[k])))
+            discard(*self.levels[k])
             self.levels[k] = []
             k += 1
+        return new.union(known.select("h1", "h2", F.col("total").alias("n_docs")))
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        discard(*[r for level in self.levels for r in level])
+        self.levels = [[]]
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_key: int) -> DataFrame:
@@ -99,40 +117,42 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with lines removed whose key occurs in at least ``min_docs`` rows.
 
-    Adds ``n_lines`` and ``n_dropped``; ``text_col`` holds the kept lines.  Null
-    texts count as one empty line and become empty.  A key of fewer than
-    ``min_key`` code points is never dropped.  Rows with equal ids count as
-    documents of their own; null ids are kept.
+    Adds ``n_lines`` and ``n_dropped`` (prefixed where the caller has columns of
+    these names); ``text_col`` holds the kept lines.  Null texts count as one
+    empty line and become empty.  A key of fewer than ``min_key`` code points is
+    never dropped.  Rows with equal ids count as documents of their own, repeated
+    rows too; null ids are kept.
+
+    The documents' lines come in ``batches`` (by hash of the row).  A line becomes
+    frequent in the batch that brings it to ``min_docs``.
     """
     spark = docs.sparkSession
-    keys = materialise(
-        line_keys(docs.select(id_col, text_col), id_col, text_col, min_key)
-        .select(F.col(id_col).alias("_id"), "h1", "h2")
-        .withColumn("_batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int"))
-    )
-    runs = LineRuns(spark, fanout)
+    counts = [free(c, docs.columns) for c in ("n_lines", "n_dropped")]
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    path = scratch(spark)
+    keyed = line_keys(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", min_key)
+    keyed.withColumn("batch", F.pmod("_row", F.lit(batches)).cast("int")).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    keys = spark.read.schema("_row long, h1 long, h2 long, batch int").parquet(path)
+    runs, found = LineRuns(spark, fanout), []
     for b in range(batches):
-        runs.add(keys.filter(F.col("_batch") == b))
-    frequent = materialise(runs.all().filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
-    # by id: a hash is dropped wherever it occurs, so rows that share an id may share the set
-    drop = (
-        keys.join(bounded(frequent), ["h1", "h2"])
-        .groupBy("_id")
-        .agg(F.collect_set("h1").alias(f"{OWN}drop"))
-        .withColumnRenamed("_id", f"{OWN}drop_id")
-    )
+        # rows that are equal in id and text share a batch and count as often as they occur
+        found.append(runs.add(keys.filter(F.col("batch") == b)).filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
+    frequent = materialise(reduce(DataFrame.union, found).distinct())
+    runs.drop()
+    # a hash is dropped wherever it occurs, so rows of one key may share the set
+    drop = keys.join(bounded(frequent), ["h1", "h2"]).groupBy("_row").agg(F.collect_set("h1").alias(f"{OWN}drop")).withColumnRenamed("_row", f"{OWN}row")
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.split(text, "\n", -1)
     kept = F.filter(raw, lambda l: ~F.array_contains(F.col(f"{OWN}drop"), _h1(strip(ascii_lower(l)))) | (F.length(strip(l)) < min_key))
-    step = docs.join(drop, F.col(id_col).eqNullSafe(F.col(f"{OWN}drop_id")), "left").withColumns(
-        {f"{OWN}kept": F.when(F.col(f"{OWN}drop").isNotNull(), kept), "n_lines": F.size(raw).cast("long")}
+    step = docs.withColumn(f"{OWN}key", row).join(drop, F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left").withColumns(
+        {f"{OWN}kept": F.when(F.col(f"{OWN}drop").isNotNull(), kept), counts[0]: F.size(raw).cast("long")}
     )
     return step.withColumns(
         {
             text_col: F.when(F.col(f"{OWN}kept").isNotNull(), F.array_join(f"{OWN}kept", "\n")).otherwise(text),
-            "n_dropped": F.when(F.col(f"{OWN}kept").isNotNull(), F.col("n_lines") - F.size(f"{OWN}kept")).otherwise(F.lit(0)).cast("long"),
+            counts[1]: F.when(F.col(f"{OWN}kept").isNotNull(), F.col(counts[0]) - F.size(f"{OWN}kept")).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop(f"{OWN}kept", f"{OWN}drop", f"{OWN}drop_id")
+    ).drop(f"{OWN}kept", f"{OWN}drop", f"{OWN}row", f"{OWN}key")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
