@@ -3,8 +3,8 @@
 Equal vectors of a label are first folded into one representative with a count.
 The representatives of a label are dealt by hash into shards of at most about
 ``shard_size``; each shard gets a hierarchical small-world graph, kept as one
-binary row.  The representatives are also dealt into query blocks, and an
-equi-join on the label brings every block to every shard of its label.  There
+binary row.  The representatives are also dealt into query blocks, and every
+shard meets all blocks of its label, a few of them in each task.  There
 
 * a beam search over the graph finds candidates, widened for a query as long as
   its whole beam lies above the threshold, and
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, materialise, ship
+from .common import bounded, connected, materialise, ship
 
 LOW = -2.0  # below any cosine
 
@@ -303,6 +303,7 @@ def near_duplicates(
     threshold: float = 0.93,
     shard_size: int = 8192,
     block_size: int = 1024,
+    group: int = 8,
     beam: int = 32,
     audit: int = 64,
     recall: float = 0.99,
@@ -371,47 +372,54 @@ def near_duplicates(
     body = "ids binary, copies binary, vectors binary"
     shards = materialise(dealt.groupBy("label", "shard").applyInArrow(to_shard, f"label string, shard int, {body}, graph binary"))
     blocks = materialise(dealt.groupBy("label", "block").applyInArrow(to_block, f"label string, block int, {body}"))
-    pairs = blocks.select("label", "block", F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vectors").alias("q_vectors")).join(
-        shards, "label"
-    )
-
-    def search(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                copies = np.frombuffer(r["copies"], np.int64)
-                q = _unit(np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1))
-                graph = Graph.load(r["graph"], _unit(np.frombuffer(r["vectors"]).reshape(len(ids), -1)))
-                at = np.argsort(ids)
-                own = at[np.minimum(np.searchsorted(ids, q_ids, sorter=at), len(ids) - 1)]
-                own = np.where(ids[own] == q_ids, own, -1)
-                a, b, _ = linked_pairs(graph, q, threshold, beam, audit, recall, own=own)
-                other = q_ids[a] != ids[b]
-                a, b = a[other], b[other]
-                links = np.bincount(a, weights=copies[b], minlength=len(q_ids)).astype(np.int64)
-                nodes, inv = np.unique(np.concatenate([q_ids, ids]), return_inverse=True)
-                x, y = inv[a], inv[len(q_ids) + b]
-                root = np.arange(len(nodes))
-                while True:  # local union by smallest neighbour and pointer jumping
-                    was = root.copy()
-                    np.minimum.at(root, x, was[y])
-                    np.minimum.at(root, y, was[x])
-                    root = root[root]
-                    if (root == was).all():
-                        break
-                edge = root != np.arange(len(nodes))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([q_ids, nodes[edge]])),
-                        pa.array(np.concatenate([links, np.zeros(edge.sum(), np.int64)])),
-                        pa.array(np.concatenate([q_ids, nodes[root[edge]]])),
-                    ],
-                    names=["node", "links", "root"],
+    # a task is a shard and a group of blocks of its label, each block a row of its own
+    shape = sizes.select("label", F.ceil(F.col("n") / shard_size).cast("int").alias("_s"), F.ceil(F.ceil(F.col("n") / block_size) / group).cast("int").alias("_g"))
+    shape = bounded(materialise(shape))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_shards = shards.join(shape, "label").withColumn("_group", each("_g")).drop("_s", "_g").withColumn("block", F.lit(-1))
+    dealt_blocks = blocks.join(shape, "label").withColumn("_group", F.pmod("block", F.col("_g"))).withColumn("shard", each("_s")).drop("_s", "_g")
+    tasks = dealt_shards.unionByName(dealt_blocks.withColumn("graph", F.lit(None).cast("binary")))
+
+    def search(t: pa.Table) -> pa.Table:
+        get = lambda i, c: t.column(c)[i].as_py()
+        at_shard = int(np.nonzero(np.asarray(t.column("block")) < 0)[0][0])
+        ids, copies = (np.frombuffer(get(at_shard, c), np.int64) for c in ("ids", "copies"))
+        graph = Graph.load(get(at_shard, "graph"), _unit(np.frombuffer(get(at_shard, "vectors")).reshape(len(ids), -1)))
+        at = np.argsort(ids)
+        out = []
+        for i in range(t.num_rows):
+            if i == at_shard:
+                continue
+            q_ids = np.frombuffer(get(i, "ids"), np.int64)
+            q = _unit(np.frombuffer(get(i, "vectors")).reshape(len(q_ids), -1))
+            own = at[np.minimum(np.searchsorted(ids, q_ids, sorter=at), len(ids) - 1)]
+            own = np.where(ids[own] == q_ids, own, -1)
+            a, b, _ = linked_pairs(graph, q, threshold, beam, audit, recall, own=own)
+            other = q_ids[a] != ids[b]
+            a, b = a[other], b[other]
+            links = np.bincount(a, weights=copies[b], minlength=len(q_ids)).astype(np.int64)
+            nodes, inv = np.unique(np.concatenate([q_ids, ids]), return_inverse=True)
+            x, y = inv[a], inv[len(q_ids) + b]
+            root = np.arange(len(nodes))
+            while True:  # local union by smallest neighbour and pointer jumping
+                was = root.copy()
+                np.minimum.at(root, x, was[y])
+                np.minimum.at(root, y, was[x])
+                root = root[root]
+                if (root == was).all():
+                    break
+            edge = np.nonzero(root != np.arange(len(nodes)))[0]
+            out.append(
+                (
+                    np.concatenate([q_ids, nodes[edge]]),
+                    np.concatenate([links, np.zeros(len(edge), np.int64)]),
+                    np.concatenate([q_ids, nodes[root[edge]]]),
                 )
+            )
+        columns = [np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(3)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "root"])
 
-    many = max(1, min(blocks.count() * max(1, shards.count() // max(1, sizes.count())), 20_000))
-    found = materialise(pairs.repartition(many).mapInArrow(search, "node long, links long, root long"))
+    found = materialise(tasks.groupBy("label", "shard", "_group").applyInArrow(search, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected(found.filter("node <> root"), "node", "root").withColumnRenamed("node", "c_node")
     per_rep = (
