@@ -31,28 +31,46 @@ from .tokens import default_path, encoder
 MAGIC, VERSION, BLOCK = b"GLWM", 1, 512
 
 
+class _Lazy:
+    """Items made by ``make(k)`` when first asked for."""
+
+    def __init__(self, make):
+        self.make, self.made = make, {}
+
+    def __getitem__(self, k: int):
+        if k not in self.made:
+            self.made[k] = self.make(k)
+        return self.made[k]
+
+
 class WaveletMatrix:
     """Rank/select over the ids of one shard file (bytes)."""
 
     def __init__(self, blob: bytes):
-        import numpy as np
-        import zstandard
-
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
         _, size = struct.unpack_from("<II", blob, 4)
         head = json.loads(blob[12 : 12 + size])
         self.n, self.levels, self.zeros = head["n"], head["levels"], head["zeros"]
-        at, parts = 12 + size, []
-        unzip = zstandard.ZstdDecompressor()
+        at = 12 + size
+        self._blob, self._spans = blob, []
         for length, raw in head["sections"]:
-            parts.append(unzip.decompress(blob[at : at + length], max_output_size=max(raw, 1)) if raw else b"")
+            self._spans.append((at, length, raw))
             at += length
         self.doc_null = head["null_docs"]
-        self.doc_ids = np.frombuffer(parts[0], "<i8")
-        self.doc_starts = np.frombuffer(parts[1], "<i8")
-        self.planes = [np.frombuffer(p, "u1") for p in parts[2::2]]
-        self.ranks = [np.frombuffer(p, "<u4") for p in parts[3::2]]
+        self.doc_ids = self._section(0, "<i8")
+        self.doc_starts = self._section(1, "<i8")
+        # planes and rank directories are unpacked when they are first used
+        self.planes = _Lazy(lambda k: self._section(2 + 2 * k, "u1"))
+        self.ranks = _Lazy(lambda k: self._section(3 + 2 * k, "<u4"))
+
+    def _section(self, k: int, kind: str):
+        import numpy as np
+        import zstandard
+
+        at, length, raw = self._spans[k]
+        frame = self._blob[at : at + length]
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(frame, max_output_size=raw) if raw else b"", kind)
 
     def _bit(self, level: int, i: int) -> int:
         return (int(self.planes[level][i >> 3]) >> (7 - (i & 7))) & 1
@@ -97,11 +115,26 @@ class WaveletMatrix:
         """Position of the k-th occurrence (from 0) of the id."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        lo, hi = 0, self.n
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(token, mid) > k else (mid, hi)
-        return lo
+        lo = 0
+        for level in range(self.levels):
+            ones = self._ones(level, lo)
+            lo = self.zeros[level] + ones if token >> (self.levels - 1 - level) & 1 else lo - ones
+        at = lo + k
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            at = self._place(level, bit, at - self.zeros[level] if bit else at)
+        return at
+
+    def _place(self, level: int, bit: int, j: int) -> int:
+        """Place of the j-th (from 0) bit of this kind in a plane: a search of the directory, then one block."""
+        import numpy as np
+
+        ranks = self.ranks[level].astype(np.int64)
+        if not bit:
+            ranks = np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
+        block = int(np.searchsorted(ranks, j, side="right")) - 1
+        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
+        return block * BLOCK + int(np.nonzero(bits == bit)[0][j - int(ranks[block])])
 
     def decode(self):
         """All ids in order, by undoing the stable partitions from the last plane up."""
@@ -124,9 +157,9 @@ def build(ids, doc_ids: list, doc_starts: list, levels: int) -> bytes:
     import zstandard
 
     a = np.asarray(ids)
-    a = a.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     if len(a) and int(a.max()) >> levels:
         raise ValueError("an id needs more bit-planes")
+    a = a.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     nulls = sum(x is None for x in doc_ids)
     sections = [
         np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
@@ -226,7 +259,10 @@ def write_shards(
         small = np.uint16 if levels <= 16 else np.uint32
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                got = np.frombuffer(enc.encode(text.as_py()) + end, "<u4").astype(small)
+                got = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
+                if int(got.max()) >> levels:
+                    raise ValueError("an id needs more bit-planes")
+                got = got.astype(small)
                 ids.append(doc.as_py())
                 starts.append(total)
                 chunks.append(got)
@@ -252,7 +288,8 @@ def read_shards(spark, path: str) -> DataFrame:
     """One row per document from the shard files: ids' place, count and checksum.
 
     ``start`` is global over all shards: a prefix sum over the totals of the
-    range partitions plus one over the shards inside each.
+    range partitions plus one over the shards inside each.  Null ids come back as
+    null, repeated ids as a row each; an empty folder's table gives no rows.
     """
     import pyarrow as pa
 
@@ -265,7 +302,8 @@ def read_shards(spark, path: str) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one shard's bytes at a time
+                r = {c: batch.column(c)[i].as_py() for c in ("part", "seq", "payload")}
                 m = WaveletMatrix(r["payload"])
                 tokens = m.decode().astype("<u4")
                 starts = np.append(m.doc_starts, m.n)
