@@ -80,7 +80,7 @@ def rule_figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def host_verdicts(failures: DataFrame, rules: list[str], max_rate: float) -> DataFrame:
-    """(host, host_rejected, and per rule the shrunk rate) from a frame with host and 0/1 rules.
+    """(host, host_rejected, host_n, and per rule the shrunk rate) from a frame with host and 0/1 rules.
 
     Beta prior of each rule by moments over all hosts: mean m, and the
     overdispersion of host rates beyond binomial noise gives its strength.  A
@@ -92,7 +92,7 @@ def host_verdicts(failures: DataFrame, rules: list[str], max_rate: float) -> Dat
     )
     total = hosts.agg(F.count("*").alias("j"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), *[F.sum(r).alias(r) for r in rules]).first()
     if not total["n"]:
-        return hosts.select("host", F.lit(False).alias("host_rejected"))
+        return hosts.select("host", F.lit(False).alias("host_rejected"), F.col("n").alias("host_n"), *[F.lit(0.0).alias(f"rate_{r}") for r in rules])
     means = {r: total[r] / total["n"] for r in rules}
     spread = hosts.agg(*[F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.lit(means[r]), 2)).alias(r) for r in rules]).first()
     rates = {}
@@ -105,17 +105,18 @@ def host_verdicts(failures: DataFrame, rules: list[str], max_rate: float) -> Dat
     bad = None
     for r in rules:
         bad = (rates[r] > max_rate) if bad is None else bad | (rates[r] > max_rate)
-    return hosts.select("host", bad.alias("host_rejected"), *[rates[r].alias(f"rate_{r}") for r in rules])
+    return hosts.select("host", bad.alias("host_rejected"), F.col("n").alias("host_n"), *[rates[r].alias(f"rate_{r}") for r in rules])
 
 
 def host_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5
 ) -> DataFrame:
-    """Base figures, base_failed, host_rejected and kept for each document.
+    """Base figures, base_failed, kept and the host's verdict, size and shrunk rates for each document.
 
     The rules summed by host are the base rule, symbols (more than a tenth of
     the word characters) and repeated lines (more than 30 % of the lines).  No
-    words: base_failed.  Rows with a null host are judged by the base rule.
+    words: base_failed.  Rows with a null host are judged by the base rule; their
+    host columns are null and host_rejected false.  Repeated rows count each.
     """
     f = rule_figures(docs, id_col=id_col, text_col=text_col, host_col=host_col)
     f = f.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
@@ -127,7 +128,7 @@ def host_rules(
         }
     )
     f = materialise(f)
-    verdicts = materialise(host_verdicts(f, ["r_base", "r_symbols", "r_lines"], max_rate).select(F.col("host").alias("v_host"), "host_rejected"))
+    verdicts = materialise(host_verdicts(f, ["r_base", "r_symbols", "r_lines"], max_rate).withColumnRenamed("host", "v_host"))
     j = f.join(bounded(verdicts), F.col("host") == F.col("v_host"), "left")
     return j.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn(
         "kept", ~F.col("base_failed") & ~F.col("host_rejected")
@@ -139,3 +140,45 @@ def op3_host_rules(spark, sf_dir: str) -> DataFrame:
     return host_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected"
     )
+
+
+#: DuckDB: the same figures over lists of words, and the prior by moments.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, host, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), s AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM (
+    SELECT rid, i, list_slice(words, i, i + 7) AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w))
+), r AS (
+  SELECT rid, sum(step) AS n FROM (
+    SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS step FROM s WHERE c > 1) GROUP BY rid
+), f AS (
+  SELECT w.rid, doc_id, host, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN r ON w.rid = r.rid
+), g AS (
+  SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed,
+         n_symbols * 10 > word_chars AS r2, n_dup_lines * 100 > n_lines * 30 AS r3 FROM f
+), long AS (
+  SELECT host, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed::INT, r2::INT, r3::INT]) AS y FROM g WHERE host IS NOT NULL
+), h AS (
+  SELECT host, rule, count(*) AS n, sum(y) AS x FROM long GROUP BY ALL
+), m AS (
+  SELECT rule, sum(x) / sum(n) AS m, count(*) - 1 AS free, sum(n) AS nn, sum(n * n) AS n2 FROM h GROUP BY rule
+), v AS (
+  SELECT h.rule, sum(n * (x / n - m) * (x / n - m)) AS spread FROM h JOIN m ON h.rule = m.rule GROUP BY h.rule
+), p AS (
+  SELECT m.rule, m.m, 1 / least(greatest(CASE WHEN m * (1 - m) > 0 AND nn - n2 / nn - free > 0
+         THEN (spread - free * m * (1 - m)) / ((nn - n2 / nn - free) * m * (1 - m)) ELSE 0 END, 0.001), 0.5) - 1 AS k
+  FROM m JOIN v ON m.rule = v.rule
+), q AS (
+  SELECT host, bool_or((x + m * k) / (n + k) > 0.5) AS bad FROM h JOIN p ON h.rule = p.rule GROUP BY host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(bad, false) AS kept, coalesce(bad, false) AS host_rejected
+FROM g LEFT JOIN q ON g.host = q.host
+"""

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_host_rules": hostrules.OP3_SQL,
     "op7_temporal_list_join": urllist.OP7_SQL,
     "op8_transaction_assembly": warc.OP8_SQL,
     "op10_line_dedup": lines.OP10_SQL,
