@@ -26,6 +26,11 @@ OWN = "__gridloom_"
 BROADCAST_ROWS = 200_000
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or with the prefix where a caller's column already has it."""
+    return OWN + name if name.lower() in {c.lower() for c in columns} else name
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder path below the shared checkpoint folder of the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)

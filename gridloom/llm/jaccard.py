@@ -54,7 +54,7 @@ def raw_shingles(text: bytes | None, words: int = 5):
     w = (text or b"").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 1_000_000:
+    if len(_hashes) > 300_000:
         _hashes.clear()
     h, known, digest = np.empty(len(w), np.uint64), _hashes, xxhash.xxh64_intdigest
     try:
@@ -260,7 +260,7 @@ def _sign(docs: DataFrame, rarity) -> DataFrame:
                     s = shingles(text)
                     key = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
                     known = (len(s), key)
-                    if len(by_text) >= 100_000:
+                    if len(by_text) >= 50_000:
                         by_text.clear()
                         met.clear()
                     by_text[name] = known
@@ -294,7 +294,7 @@ def _sign(docs: DataFrame, rarity) -> DataFrame:
     return docs.mapInArrow(rows, SIGNED)
 
 
-def shingle_rarity(docs: DataFrame, *, chunk: int = 4_000_000, least: int = 10) -> bytes:
+def shingle_rarity(docs: DataFrame, *, chunk: int = 2_000_000, least: int = 10) -> bytes:
     """A class of 0 (rare) to 255 for each of the 2**BITS buckets of shingle hashes, one byte each.
 
     Every shingle of every document is counted, in chunks of a task; a bucket
@@ -309,13 +309,13 @@ def shingle_rarity(docs: DataFrame, *, chunk: int = 4_000_000, least: int = 10)
         held, size = [], 0
 
         def close():
-            c = np.bincount((np.concatenate(held) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            c = np.bincount(np.concatenate(held), minlength=1 << BITS)
             often = np.nonzero(c >= least + 4 * size // len(c))[0]
             return pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(c[often])], names=["bucket", "n"])
 
         for batch in batches:
             for text in batch.column(2):
-                held.append(raw_shingles(text.as_py()))
+                held.append((raw_shingles(text.as_py()) >> np.uint64(64 - BITS)).astype(np.int32))
                 size += len(held[-1])
                 if size > chunk:
                     yield close()

@@ -250,7 +250,7 @@ def mix(
     )
     taken = materialise(taken.select("source", "target", "h", "w", "copies"))
     flips = _flips(taken, cap, corrections)
-    discard(thin, dealt, need, taken, sums, targets)
+    discard(thin, dealt, need, sums, targets)
     placed = (
         seen.withColumn("g", F.col(f"{OWN}group"))
         .withColumn(f"{OWN}k", index)
@@ -268,7 +268,6 @@ def mix(
 
 def _flips(taken: DataFrame, cap: int, corrections: int) -> DataFrame:
     """(f_source, f_h, f_d): a few thin rows per source whose copies move by one, chosen to close its gap."""
-    spark = taken.sparkSession
     flips = None
     for _ in range(corrections):
         if flips is None:
@@ -293,7 +292,7 @@ def _flips(taken: DataFrame, cap: int, corrections: int) -> DataFrame:
             break
         flips = materialise(more if flips is None else flips.union(more))
     if flips is None:
-        return spark.createDataFrame([], taken.select(F.col("source").alias(f"{OWN}f_source"), F.col("h").alias(f"{OWN}f_h"), F.lit(0).alias(f"{OWN}f_d")).schema)
+        return taken.limit(0).select(F.col("source").alias(f"{OWN}f_source"), F.col("h").alias(f"{OWN}f_h"), F.lit(0).alias(f"{OWN}f_d"))
     return flips
 
 

@@ -29,7 +29,7 @@ class WordEncoder:
     is emptied, which costs time and never changes a result.
     """
 
-    def __init__(self, content: str, max_entries: int = 500_000):
+    def __init__(self, content: str, max_entries: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 

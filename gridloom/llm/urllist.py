@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise
+from .common import OWN, bounded, free, materialise
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -53,26 +53,20 @@ def evaluate(
 
     Of several active keys the longest decides, then the latest listing.  A
     capture without host or time is not blocked.  Every row stays, repeated
-    ones included.
+    ones included.  Where the caller has columns of these names, they stay and
+    the added ones are prefixed.
     """
-    c = captures.withColumn("host", host_of(F.col(url_col)))
-    hosts = c.select("host").filter(F.col("host").isNotNull()).distinct()
+    name = {c: free(c, captures.columns) for c in ("host", "blocked", "entry", "listed_since")}
+    own, at = {c: OWN + c for c in ("list", "first", "for")}, F.col(time_col)
+    c = captures.withColumn(name["host"], host_of(F.col(url_col)))
+    hosts = c.select(F.col(name["host"]).alias("host")).filter(F.col("host").isNotNull()).distinct()
     matched = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(intervals(entries, **entry_cols), "key")
-    lists = materialise(
-        matched.groupBy("host").agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.length("key").alias("size"), "since", "key", "until")), asc=False
-            ).alias("_list")
-        )
-    )
-    at = F.col(time_col)
-    active = F.get(F.filter("_list", lambda x: (x["since"] <= at) & (x["until"].isNull() | (x["until"] > at))), F.lit(0))
-    j = c.join(bounded(lists.withColumnRenamed("host", "_host")), F.col("host") == F.col("_host"), "left")
-    return (
-        j.withColumn("_a", active)
-        .withColumns({"blocked": F.col("_a").isNotNull(), "entry": F.col("_a.key"), "listed_since": F.col("_a.since")})
-        .drop("_a", "_list", "_host")
-    )
+    listed = F.collect_list(F.struct(F.length("key").alias("size"), "since", "key", "until"))
+    lists = materialise(matched.groupBy(F.col("host").alias(own["for"])).agg(F.sort_array(listed, asc=False).alias(own["list"])))
+    active = F.get(F.filter(own["list"], lambda x: (x["since"] <= at) & (x["until"].isNull() | (x["until"] > at))), F.lit(0))
+    j = c.join(bounded(lists), F.col(name["host"]) == F.col(own["for"]), "left").withColumn(own["first"], active)
+    first = F.col(own["first"])
+    return j.withColumns({name["blocked"]: first.isNotNull(), name["entry"]: first["key"], name["listed_since"]: first["since"]}).drop(*own.values())
 
 
 def dated_list(pages: DataFrame) -> DataFrame:

@@ -268,6 +268,91 @@ def test_op8_reads_what_it_wrote(spark):
     assert got == {1: (1500, "revisit", 2), 2: (1500, "response", None), 3: (0, "response", None), 4: (7, "response", None)}
 
 
+def test_op8_repeats_nulls_and_a_large_page(spark):
+    """Every row is a capture of its own; a 50 MB payload passes; an empty table gives none."""
+    big, huge = "y" * 1200, "z" * 50_000_000
+    data = [(1, "http://a/", big), (1, "http://b/", big), (1, "http://b/", big), (None, "u", "n"), (None, "u", "n"), (None, None, big), (3, "http://c/", big), (4, "h", huge)]
+    schema = "page_id long, url string, html string"
+    got = warc.captures(spark, warc.write_archives(spark.createDataFrame(data, schema).coalesce(1))).collect()
+    want = [(1, 1200, "revisit", 3)] * 3 + [(None, 1, "response", None)] * 2 + [(None, 1200, "revisit", 3), (3, 1200, "response", None), (4, 50_000_000, "response", None)]
+    assert sorted(map(str, [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got])) == sorted(map(str, want))
+    assert warc.captures(spark, warc.write_archives(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_op8_parses_any_chunks():
+    """Records come whole however the bytes are cut."""
+    blob = b"".join(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"\r\n" * (n // 2)) for n in (0, 2, 10))
+    for step in (1, 3, 7, 1000):
+        got = list(warc.parse_archive(blob[i : i + step] for i in range(0, len(blob), step)))
+        assert [len(b) for _, b in got] == [0, 2, 10]
+    with pytest.raises(ValueError):
+        list(warc.parse_archive([blob[:-8]]))
+
+
+def test_op9_planted_clusters_within_and_across_shards(spark):
+    """Small shards and blocks, so that clusters span them: links and components against all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1200, 24))
+    near = [base[k] + 0.18 * rng.normal(size=24) for k in range(0, 300) for _ in range(int(rng.integers(1, 6)))]
+    x = np.vstack([base, near, base[:50]]).astype(np.float32)
+    label = np.concatenate([np.arange(1200) % 3, np.zeros(len(x) - 1200, int)])
+    label[1200 : 1200 + len(near)] = rng.integers(0, 2, len(near))
+    data = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label))]
+    docs = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(6)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(docs, shard_size=256, block_size=64, group=3).collect()}
+    u = hnsw._unit(x)
+    hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(hit, False)
+    n = hit.sum(axis=1)
+    assert n.sum() > 600 and len(got) == len(x)
+    assert all(got[i]["n_links"] <= n[i] for i in range(len(x)))
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * n.sum()
+    a, b = np.nonzero(hit)
+    root = jaccard._roots(len(x), a, b)
+    assert np.mean([got[i]["component_id"] == root[i] for i in range(len(x))]) >= 0.99
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_op9_empty_repeated_and_clashing(spark):
+    schema = "vec_id long, embedding array<float>, label int, e string, id int, n long"
+    assert hnsw.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    data = [(5, [1.0, 0.0], 1, "a", 1, 1)] * 3 + [(2, [0.0, 1.0], 1, "b", 2, 2), (None, [1.0, 0.0], 1, None, None, None)]
+    got = sorted(map(str, map(tuple, hnsw.near_duplicates(spark.createDataFrame(data, schema)).collect())))
+    assert got == sorted(map(str, [(5, 2, 5, True)] * 3 + [(2, 0, 2, True), (None, 0, None, True)]))
+
+
+def test_op10_batches_meet_the_runs(spark):
+    """Known lines go on counting, new ones are told apart; a line becomes frequent in its tenth document."""
+    runs = lines.LineRuns(spark, 2)
+    batch = lambda *keys: spark.createDataFrame([(k, -k) for k in keys], "h1 long, h2 long")
+    assert sorted(map(tuple, runs.add(batch(1, 1, 2)).collect())) == [(1, -1, 2), (2, -2, 1)]
+    assert [r["h1"] for r in runs.seen(batch(1, 2, 3)).collect()] == [3]
+    assert sorted(map(tuple, runs.add(batch(1, 3)).collect())) == [(1, -1, 3), (3, -3, 1)]
+    assert sorted(map(tuple, runs.add(batch(3, 3)).collect())) == [(3, -3, 3)]
+    assert sorted(map(tuple, runs.all().collect())) == [(1, -1, 3), (2, -2, 1), (3, -3, 3)]
+
+
+def test_clashing_names_stay(spark):
+    d = spark.createDataFrame([(1, "a", 7, "x")], "doc_id long, text string, n_lines int, n_dropped string")
+    assert lines.drop_repeated_lines(d).select("n_lines", "n_dropped", "__gridloom_n_lines").first() == (7, "x", 1)
+    c = spark.createDataFrame([("http://a.b/", 1, "mine", 5)], "url string, fetched int, host string, entry int")
+    e = spark.createDataFrame([], "key string, action string, at int")
+    r = urllist.evaluate(c, e).first()
+    assert (r["host"], r["entry"], r["__gridloom_host"], r["blocked"]) == ("mine", 5, "a.b", False)
+    assert urllist.evaluate(c.limit(0), e).count() == 0
+
+
+def test_op2_ids_beyond_the_planes_raise():
+    with pytest.raises(ValueError):
+        wavelet.build(np.array([70_000]), [1], [0], 16)
+
+
+def test_op4_packs_awkward_and_empty_tables(spark, awkward, empty):
+    got = packing.pack(packing.encode_documents(awkward)).collect()
+    assert sum(r["start"] == 0 for r in got) == awkward.count() and all(r["length"] > 0 for r in got)
+    assert packing.pack(packing.encode_documents(empty)).count() == 0
+
+
 def test_op10_levels_keep_counts(spark):
     data = [(i, f"Shared line\nown {i}") for i in range(12)] + [(99, None), (None, " shared LINE ")]
     got = lines.drop_repeated_lines(spark.createDataFrame(data, "doc_id long, text string"), batches=5, fanout=2).collect()
