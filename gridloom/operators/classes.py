@@ -34,9 +34,9 @@ def domain(df: DataFrame, col: str = "cls", ignore: int | None = None) -> DataFr
 def domain_flags(df: DataFrame, col: str = "cls") -> DataFrame:
     """One row: n, lo, hi, consecutive, sparse, need_remap.
 
-    consecutive: neighbours differ by one; sparse: the largest class is at
-    least the number of classes; re-mapping is needed unless the classes are
-    0..n-1.
+    consecutive: neighbours differ by one; sparse: not consecutive, and fewer
+    classes than 0..largest holds; re-mapping is needed if they are sparse or
+    don't begin with 0.
     """
     d = domain(df, col)
     step = F.lead("cls").over(W.orderBy("cls")) - F.col("cls")
@@ -44,13 +44,14 @@ def domain_flags(df: DataFrame, col: str = "cls") -> DataFrame:
         F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.coalesce(F.max("step"), F.lit(1)).alias("gap")
     )
     consecutive = F.col("gap") == 1
+    sparse = ~consecutive & (F.col("n") < F.col("hi") + 1)
     return a.select(
         "n",
         "lo",
         "hi",
         consecutive.alias("consecutive"),
-        (F.col("hi") >= F.col("n")).alias("sparse"),
-        (~consecutive | (F.col("lo") != 0)).alias("need_remap"),
+        sparse.alias("sparse"),
+        (sparse | (F.col("lo") != 0)).alias("need_remap"),
     )
 
 
@@ -121,11 +122,19 @@ def domain_union(a: DataFrame, b: DataFrame, a_col: str = "cls", b_col: str = "c
 
 
 def positional_mapping(pred: DataFrame, truth: DataFrame, pred_col: str = "pred", truth_col: str = "cls") -> DataFrame:
-    """(pred, cls): i-th predicted class to i-th true class; surplus ones to the last."""
-    p = domain(pred, pred_col).select(F.col("cls").alias("pred"), F.row_number().over(W.orderBy("cls")).alias("k"))
-    t = domain(truth, truth_col).select("cls", F.row_number().over(W.orderBy("cls")).alias("k"))
+    """(pred, cls): i-th predicted class to i-th true class; surplus ones to the last.
+
+    Predicted nodata (255) takes no part.  Where both sides have class 0, it
+    maps to itself and the others are paired without it.
+    """
+    p, t = domain(pred, pred_col, ignore=255), domain(truth, truth_col)
+    zero = p.filter("cls = 0").join(t.filter("cls = 0"), "cls")  # at most one row
+    p, t = p.join(zero, "cls", "left_anti"), t.join(zero, "cls", "left_anti")
+    p = p.select(F.col("cls").alias("pred"), F.row_number().over(W.orderBy("cls")).alias("k"))
+    t = t.select("cls", F.row_number().over(W.orderBy("cls")).alias("k"))
     last = t.agg(F.max("cls").alias("last"))
-    return p.join(F.broadcast(t), "k", "left").crossJoin(F.broadcast(last)).select("pred", F.coalesce("cls", "last").alias("cls"))
+    rest = p.join(t, "k", "left").crossJoin(F.broadcast(last)).select("pred", F.coalesce("cls", "last").alias("cls"))
+    return zero.select(F.col("cls").alias("pred"), "cls").union(rest)
 
 
 def cooccurrence(df: DataFrame, pred_col: str = "pred", truth_col: str = "cls") -> DataFrame:
@@ -148,3 +157,25 @@ def refined_mapping(co: DataFrame, truth_domain: DataFrame, num_classes: int) ->
     t = open_true.withColumn("k", F.row_number().over(W.orderBy("cls")))
     rest = p.join(t, "k", "left").select("pred", F.coalesce("cls", F.lit(0)).alias("cls"), F.lit("leftover").alias("how"))
     return best.select("pred", "cls", F.lit("majority").alias("how")).unionByName(rest)
+
+
+def detect(df: DataFrame, col: str = "cls") -> DataFrame:
+    """One row: classes (sorted array) and num_classes over the pixels of any number of masks.
+
+    Masks of 0 and 1 alone are binary: one class.  Null pixels (unreadable
+    files) are left out.  The array is bounded by the class domain.
+    """
+    d = domain(df, col).agg(F.sort_array(F.collect_list("cls")).alias("classes"))
+    binary = F.col("classes") == F.array(F.lit(0), F.lit(1))
+    return d.select("classes", F.when(binary, 1).otherwise(F.size("classes")).alias("num_classes"))
+
+
+def histogram_by_file(df: DataFrame, file: str, col: str = "cls") -> DataFrame:
+    """(cls, n, files): pixels and files of each class over many masks; null pixels are left out."""
+    c = df.filter(F.col(col).isNotNull()).groupBy(F.col(file).alias("_f"), F.col(col).cast("int").alias("cls")).agg(F.count("*").alias("n"))
+    return c.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+def one_hot(df: DataFrame, num_classes: int, col: str = "cls") -> DataFrame:
+    """Adds hot, an array of ``num_classes`` zeros with a one at the class; all zeros outside the range."""
+    return df.withColumn("hot", F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)), lambda k: (k == F.col(col)).cast("int")))

@@ -22,9 +22,9 @@ def clean_values(df: DataFrame, value: str = "value", default: float = 0.0) -> D
     return df.withColumn(value, finite_or(F.col(value), default))
 
 
-def scale_and_clip(value: Column) -> Column:
-    """Raw reflectances (over 100) are divided by 10000; clipped to [0, 1]."""
-    return clip(F.when(value > 100, value / 1e4).otherwise(value), 0.0, 1.0)
+def scale_and_clip(df: DataFrame, image: str, value: str = "value") -> DataFrame:
+    """Images whose largest value exceeds 100 are divided by 10000; then all values are clipped to [0, 1]."""
+    return scale_reflectance(df, image, value).withColumn(value, clip(F.col(value), 0.0, 1.0))
 
 
 def fit_min_max(long: DataFrame) -> DataFrame:

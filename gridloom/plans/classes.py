@@ -25,7 +25,7 @@ def class_histogram_labelled(spark, sf_dir):
 
 @query("class_domain_flags", f"""WITH {R}, d AS (SELECT cls, lead(cls) OVER (ORDER BY cls) - cls AS step FROM (SELECT DISTINCT cls FROM r)),
 a AS (SELECT count(*) AS n, min(cls) AS lo, max(cls) AS hi, coalesce(max(step), 1) AS gap FROM d)
-SELECT n, lo, hi, gap = 1 AS consecutive, hi >= n AS sparse, (gap <> 1 OR lo <> 0) AS need_remap FROM a""")
+SELECT n, lo, hi, gap = 1 AS consecutive, gap <> 1 AND n < hi + 1 AS sparse, (gap <> 1 AND n < hi + 1) OR lo <> 0 AS need_remap FROM a""")
 def class_domain_flags(spark, sf_dir):
     return classes.domain_flags(raster(spark, sf_dir))
 
@@ -90,12 +90,15 @@ def class_domain_union(spark, sf_dir):
     return classes.domain_union(r, r, "cls", "pred10")
 
 
-@query("positional_class_map", f"""WITH {R}, p AS (SELECT pred, row_number() OVER (ORDER BY pred) AS k FROM (SELECT DISTINCT pred FROM r)),
-t AS (SELECT cls, row_number() OVER (ORDER BY cls) AS k FROM (SELECT DISTINCT cls FROM r))
-SELECT p.pred, coalesce(t.cls, (SELECT max(cls) FROM t)) AS cls FROM p LEFT JOIN t ON p.k = t.k""")
+@query("positional_class_map", f"""WITH {R}, s AS (SELECT CASE WHEN valid THEN pred ELSE 255 END AS p, CASE WHEN pixel_id % 7 = 0 THEN 0 ELSE least(cls, 40) END AS t FROM r),
+p AS (SELECT p AS pred, row_number() OVER (ORDER BY p) AS k FROM (SELECT DISTINCT p FROM s WHERE p NOT IN (0, 255))),
+t AS (SELECT t AS cls, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM s WHERE t <> 0))
+SELECT 0 AS pred, 0 AS cls UNION ALL SELECT p.pred, coalesce(t.cls, (SELECT max(cls) FROM t)) FROM p LEFT JOIN t ON p.k = t.k""")
 def positional_class_map(spark, sf_dir):
     r = raster(spark, sf_dir)
-    return classes.positional_mapping(r, r)
+    truth = F.when(F.col("pixel_id") % 7 == 0, 0).otherwise(F.least("cls", F.lit(40)))
+    s = r.select(F.when(F.col("valid"), F.col("pred")).otherwise(255).alias("pred"), truth.alias("cls"))
+    return classes.positional_mapping(s, s)
 
 
 @query("cooccurrence", f"WITH {R} SELECT pred, cls, count(*) AS n FROM r GROUP BY pred, cls")

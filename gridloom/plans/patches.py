@@ -59,9 +59,12 @@ def patch_majority(spark, sf_dir):
     return tiles.majority(_cover(spark, sf_dir), ["y0", "x0"])
 
 
-@query("patch_valid_filter", f"WITH {R}, {GRID} SELECT y0, x0, round(avg(CAST(valid AS INT)), 6) AS fraction FROM r JOIN g ON {IN} GROUP BY 1, 2 HAVING avg(CAST(valid AS INT)) >= 975e-3")
+@query("patch_valid_filter", f"""WITH {R}, {GRID}, v AS (SELECT y, x, bits % 10 <> 0 AND NOT (2 * y >= h.h AND x < 50) AS ok FROM r, h)
+SELECT y0, x0, round(avg(CAST(ok AS INT)), 6) AS fraction FROM v AS r JOIN g ON {IN} GROUP BY 1, 2 HAVING avg(CAST(ok AS INT)) >= 7e-1""")
 def patch_valid_filter(spark, sf_dir):
-    return rounded(tiles.keep_valid(tiles.valid_fraction(_cover(spark, sf_dir), ["y0", "x0"]), 0.975))
+    h = height(spark, sf_dir)  # the lower left quarter is invalid, so patches fall on both sides of 0.7
+    ok = (F.col("bits") % 10 != 0) & ~((2 * F.col("y") >= h) & (F.col("x") < 50))
+    return rounded(tiles.keep_valid(tiles.valid_fraction(_cover(spark, sf_dir).withColumn("valid", ok), ["y0", "x0"])))
 
 
 @query("rare_patches", f"WITH {R}, {GRID} SELECT y0, x0, string_agg(DISTINCT CAST(cls AS VARCHAR), ',' ORDER BY CAST(cls AS VARCHAR)) AS classes FROM r JOIN g ON {IN} WHERE cls IN (10, 50) GROUP BY 1, 2")

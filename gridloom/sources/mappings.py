@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """(path, orig, idx) from (path, json).
+    """(path, orig, idx): each model class idx with its original class, from (path, json).
 
-    In order: a file named ``*inverse*`` is the map itself; else the member
-    class_mapping; else reverse_mapping; else the whole object.  Keys and values
-    that aren't numbers are left out.
+    In order: a file named ``*inverse*`` maps model to original classes; else the
+    member class_mapping maps original to model classes; else reverse_mapping
+    model to original ones; else the whole object original to model ones.  Of
+    entries of one model class the last stays.  Keys and values that aren't
+    numbers are left out, as are files that aren't JSON objects.
     """
     as_map = lambda c: F.from_json(c, "map<string,string>")
     inner = lambda k: as_map(F.get_json_object("json", f"$.{k}"))
-    m = F.when(F.lower(F.element_at(F.split("path", "/"), -1)).contains("inverse"), as_map(F.col("json"))).otherwise(
-        F.coalesce(inner("class_mapping"), inner("reverse_mapping"), as_map(F.col("json")))
-    )
-    e = files.select("path", F.explode(m).alias("k", "v"))
-    return e.select("path", F.expr("try_cast(k as int)").alias("orig"), F.expr("try_cast(v as int)").alias("idx")).filter("orig is not null and idx is not null")
+    named = F.element_at(F.split("path", "/"), -1).contains("inverse")
+    forward, reverse = inner("class_mapping"), inner("reverse_mapping")
+    m = F.when(named, as_map(F.col("json"))).otherwise(F.coalesce(forward, reverse, as_map(F.col("json"))))
+    to_orig = named | (forward.isNull() & reverse.isNotNull())
+    e = files.select("path", to_orig.alias("to_orig"), F.posexplode(F.map_entries(m)).alias("at", "e"))
+    k, v = F.expr("try_cast(e.key as int)"), F.expr("try_cast(e.value as int)")
+    e = e.select("path", "at", F.when(F.col("to_orig"), v).otherwise(k).alias("orig"), F.when(F.col("to_orig"), k).otherwise(v).alias("idx"))
+    return e.filter("orig is not null and idx is not null").groupBy("path", "idx").agg(F.max_by("orig", "at").alias("orig")).select("path", "orig", "idx")
 
 
 def discover(files: DataFrame, root: str) -> DataFrame:

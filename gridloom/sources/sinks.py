@@ -15,7 +15,11 @@ def records_json(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def columns_json(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """One row, json: parallel lists by ``order``, as training histories are stored."""
     g = df.agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("r"))
-    return g.select(F.to_json(F.struct(*[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in columns])).alias("json"))
+
+    def column(c: str):
+        return F.transform("r", lambda x: x[c]).alias(c)
+
+    return g.select(F.to_json(F.struct(*[column(c) for c in columns])).alias("json"))
 
 
 def splits_info(patches: DataFrame, size: int, bands: int) -> DataFrame:
