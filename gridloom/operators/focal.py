@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import clamp_index
+from gridloom.operators.graph import connected_components
 
 
 def _reflected(v: Column, n: int, r: int) -> Column:
@@ -101,8 +102,6 @@ def components(df: DataFrame, diagonal: bool = False, col: str = "cls") -> DataF
     number of rounds grows with the logarithm of a component's diameter in the
     common case.  Every round is checkpointed.
     """
-    from gridloom.plans.graph import connected_components
-
     p = df.select("y", "x", F.col(col).alias("cls"), (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("id"))
     offsets = [(0, -1), (-1, 0)] + ([(-1, -1), (-1, 1)] if diagonal else [])
     c = connected_components(_link(p, offsets))

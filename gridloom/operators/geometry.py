@@ -14,8 +14,8 @@ def coverage(boxes: DataFrame, target: tuple[float, float, float, float]) -> Dat
     """
     l, b, r, t = map(float, target)
     spark = boxes.sparkSession
-    xs = boxes.select(F.explode(F.array("left", "right")).alias("v")).union(spark.createDataFrame([(l,), (r,)], "v double"))
-    ys = boxes.select(F.explode(F.array("bottom", "top")).alias("v")).union(spark.createDataFrame([(b,), (t,)], "v double"))
+    xs = boxes.select(F.explode(F.array("left", "right")).alias("v")).union(spark.range(1).select(F.explode(F.array(F.lit(l), F.lit(r))).alias("v")))
+    ys = boxes.select(F.explode(F.array("bottom", "top")).alias("v")).union(spark.range(1).select(F.explode(F.array(F.lit(b), F.lit(t))).alias("v")))
 
     def cells(c: DataFrame, lo: float, hi: float, name: str) -> DataFrame:
         # a box table holds a row a scene, so its edges fit one sorted array
@@ -26,7 +26,7 @@ def coverage(boxes: DataFrame, target: tuple[float, float, float, float]) -> Dat
     grid = cells(xs, l, r, "x").crossJoin(cells(ys, b, t, "y"))
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = (F.col("left") <= mx) & (mx <= F.col("right")) & (F.col("bottom") <= my) & (my <= F.col("top"))
-    hit = grid.join(F.broadcast(boxes), inside, "left_semi")
+    hit = grid.join(boxes, inside, "left_semi")
     area = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     whole = (r - l) * (t - b)
     return hit.agg(F.coalesce(area, F.lit(0.0)).alias("covered")).select(

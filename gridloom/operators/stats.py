@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import clip, stable_order
+from gridloom.operators.split import ranked
 
 
 def long_bands(df: DataFrame, bands: dict[str, str], keep=("y", "x")) -> DataFrame:
@@ -44,13 +45,25 @@ def nan_free_stats(long: DataFrame) -> DataFrame:
 
 
 def percentiles(long: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """(band, p_low, p_high), linearly interpolated and exact.
+    """(band, p_low, p_high), linearly interpolated and exact; nulls don't count.
 
-    Exact percentiles aggregate counts by value on the map side; for bands with
-    more distinct values than fit a task use ``percentile_approx``.
+    Values are counted first; ranks come from range partitions of (band, value)
+    and prefix sums, so no task holds a band.
     """
-    p = F.percentile("value", F.array(F.lit(low), F.lit(high)))
-    return long.groupBy("band").agg(p.alias("p")).select("band", F.col("p")[0].alias("p_low"), F.col("p")[1].alias("p_high"))
+    counts = long.filter(F.col("value").isNotNull()).groupBy("band", "value").agg(F.count("*").alias("_c"))
+    r = ranked(counts, ["band"], ["value"], weight="_c")
+
+    def at(k):
+        """The value of rank k (from 0)."""
+        return F.max(F.when((F.col("_r") > k) & (F.col("_r") - F.col("_c") <= k), F.col("value").cast("double")))
+
+    place = {n: F.lit(q) * (F.col("_n") - 1) for n, q in (("low", low), ("high", high))}
+    picked = r.groupBy("band").agg(
+        *[f(p).alias(f"{n}_{k}") for n, p in place.items() for k, f in (("a", lambda p: at(F.floor(p))), ("b", lambda p: at(F.ceil(p))))],
+        *[F.max(p - F.floor(p)).alias(f"{n}_f") for n, p in place.items()],
+    )
+    mixed = lambda n: F.col(f"{n}_a") * (1 - F.col(f"{n}_f")) + F.col(f"{n}_b") * F.col(f"{n}_f")
+    return picked.select("band", mixed("low").alias("p_low"), mixed("high").alias("p_high"))
 
 
 def stretch(long: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries over the operators, their fixtures and their SQL equivalents."""
 
-from . import bands, classes, patches, rasters, registry  # noqa: F401
+from . import bands, classes, patches, rasters, registry, training  # noqa: F401

@@ -25,7 +25,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_components_of_a_chain_and_a_pair(spark):
-    from gridloom.plans.graph import connected_components
+    from gridloom.operators.graph import connected_components
 
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 90), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
@@ -33,7 +33,7 @@ def test_components_of_a_chain_and_a_pair(spark):
 
 
 def test_components_without_edges(spark):
-    from gridloom.plans.graph import connected_components
+    from gridloom.operators.graph import connected_components
 
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
