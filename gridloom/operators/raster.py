@@ -122,8 +122,28 @@ def paste(base: DataFrame, objects: DataFrame, dy: int, dx: int, alpha: float =
     return j.select("y", "x", v.alias("value"), F.coalesce("_c", "cls").alias("cls"))
 
 
+def hpf(df: DataFrame, band: str, intensity: Column, eps: float = 1e-6, weight: float = 0.7) -> DataFrame:
+    """Adds sharp: band + weight * (high - mean(high)), clipped to the band's own range.
+
+    ``intensity`` holds the high-pass values of the fine band
+    (``focal.high_pass``) at each pixel.
+    """
+    d = df.withColumn("_i", intensity)
+    stats = d.agg(F.avg("_i").alias("_m"), F.min(band).alias("_lo"), F.max(band).alias("_hi"))  # one row
+    v = F.col(band) + weight * (F.col("_i") - F.col("_m"))
+    return d.crossJoin(F.broadcast(stats)).withColumn("sharp", clip(v, F.col("_lo"), F.col("_hi"))).drop("_i", "_m", "_lo", "_hi")
+
+
+#: Resampling methods by name: (df, value, height, width, to_height, to_width) -> df.
+RESAMPLE = {
+    "nearest": lambda df, value, *shape: nearest(df, *shape),
+    "bilinear": bilinear,
+    "cubic": cubic,
+}
+
 #: Sharpening methods by name: (df, band, intensity) -> df with column sharp.
 SHARPEN = {
     "simple": lambda df, band, intensity: df.withColumn("sharp", F.col(band)),
     "brovey": brovey,
+    "hpf": hpf,
 }

@@ -34,14 +34,17 @@ class NearestCentroid:
 
 
 def onnx_scorer(path: str, n_classes: int):
-    """A scorer around an ONNX file, where onnxruntime is installed."""
-    import onnxruntime
-
-    session = onnxruntime.InferenceSession(path)
+    """A scorer around an ONNX file, where onnxruntime is installed; each worker opens the file itself."""
 
     class Onnx:
+        session = None
+
         def score(self, features):
-            return session.run(None, {session.get_inputs()[0].name: features.astype("float32")})[0]
+            if self.session is None:
+                import onnxruntime
+
+                self.session = onnxruntime.InferenceSession(path)
+            return self.session.run(None, {self.session.get_inputs()[0].name: features.astype("float32")})[0]
 
     scorer = Onnx()
     scorer.n_classes = n_classes

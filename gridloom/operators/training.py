@@ -64,5 +64,17 @@ def receptive_field(layers: DataFrame, model: str = "model", order: str = "pos")
     s = F.sort_array(F.collect_list(F.struct(order, "kernel", "stride")))
     start = F.struct(F.lit(1e0).alias("rf"), F.lit(1e0).alias("jump"))
     step = lambda a, l: F.struct((a["rf"] + (l["kernel"] - 1) * a["jump"]).alias("rf"), (a["jump"] * l["stride"]).alias("jump"))
-    r = layers.groupBy(model).agg(F.aggregate(s, start, step)["rf"].alias("rf"))
+    r = layers.groupBy(model).agg(F.aggregate(s, start, step)["rf"].alias("rf"))  # a row a layer of a model
     return r.select(model, F.col("rf").cast("int").alias("rf"), F.floor(F.col("rf") * 2 / 3).cast("int").alias("effective"))
+
+
+def receptive_field_simple(layers: DataFrame, model: str = "model") -> DataFrame:
+    """(model, rf): 1 plus (kernel - 1) * factor of every layer (model, kernel, factor), without a running jump."""
+    return layers.groupBy(model).agg((1 + F.sum((F.col("kernel") - 1) * F.col("factor"))).cast("int").alias("rf"))
+
+
+def results(log: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:
+    """(run, epochs, best, best_epoch): a row a run; of equal metrics the first epoch."""
+    top = F.max(F.struct(F.col(metric), (-F.col(epoch)).alias("e")))
+    g = log.groupBy(run).agg(F.count("*").alias("epochs"), top.alias("t"))
+    return g.select(run, "epochs", F.col(f"t.{metric}").alias("best"), (-F.col("t.e")).cast("int").alias("best_epoch"))

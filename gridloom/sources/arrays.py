@@ -43,11 +43,17 @@ class NpyReader(DataSourceReader):
         if self.options.get("layout") == "block":
             yield partition.value, [int(n) for n in a.shape], a.astype(float).ravel().tolist()
             return
+        import pyarrow as pa
+
         cube = a[None] if a.ndim == 2 else a  # bands, rows, columns
+        height, width = cube.shape[1:]
+        step = max(1, 100_000 // max(width, 1))
         for k in range(cube.shape[0]):
-            for y in range(cube.shape[1]):
-                for x, v in enumerate(cube[k, y].tolist()):
-                    yield partition.value, y, x, k, float(v)
+            for y in range(0, height, step):  # some rows of a band at a time
+                v = cube[k, y : y + step].astype(float)
+                ys, xs = np.divmod(np.arange(v.size), width)
+                columns = [pa.array([partition.value] * v.size), pa.array((ys + y).astype(np.int32)), pa.array(xs.astype(np.int32)), pa.array(np.full(v.size, k, np.int32)), pa.array(v.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "y", "x", "band", "value"])
 
 
 def read_npy(spark, path: str) -> DataFrame:

@@ -76,11 +76,12 @@ def bands(files: DataFrame) -> DataFrame:
 
 def find_bands(files: DataFrame) -> DataFrame:
     """(scene, band, path): for each known band the first file by pattern priority, then by path."""
-    spark = files.sparkSession
-    names = resolutions(spark).select("band")
+    known = "|".join(b for bs in RESOLUTION.values() for b in bs)
     f = files.select(scene_of(F.col("path")).alias("scene"), "path")
+    # the bands that a path names at all
+    f = f.withColumn("band", F.explode(F.array_distinct(F.regexp_extract_all("path", F.lit(f"({known})"), F.lit(1)))))
     hits = F.array(*[F.regexp_like("path", F.concat(*_pieces(p))) for p in PATTERNS])
-    c = f.crossJoin(F.broadcast(names)).withColumn("k", F.array_position(hits, True)).filter("k > 0")  # 13 known bands
+    c = f.withColumn("k", F.array_position(hits, True)).filter("k > 0")
     return c.withColumn("r", F.row_number().over(W.partitionBy("scene", "band").orderBy("k", "path"))).filter("r = 1").select("scene", "band", "path")
 
 
@@ -91,7 +92,8 @@ def _pieces(pattern: str) -> list[Column]:
 
 def missing_bands(found: DataFrame, scenes: DataFrame) -> DataFrame:
     """(scene, band): known bands that a scene lacks."""
-    every = scenes.select("scene").distinct().crossJoin(F.broadcast(resolutions(found.sparkSession).select("band")))
+    known = F.array(*[F.lit(b) for bs in RESOLUTION.values() for b in bs])
+    every = scenes.select("scene").distinct().withColumn("band", F.explode(known))
     return every.join(found, ["scene", "band"], "left_anti")
 
 
@@ -112,10 +114,11 @@ def cloud_percentage(scenes: DataFrame, sidecar: DataFrame | None = None, defaul
     """
     g = scenes.withColumns({"c_product": cloud_from_xml("product_xml"), "c_granule": cloud_from_xml("granule_xml")})
     if sidecar is not None:
-        on = F.col("_name").contains(F.col("scene"))
-        side = sidecar.select(F.col("name").alias("_name"), F.col("pct").cast("double").alias("_pct"), F.col("line").alias("_line"))
-        g = g.join(F.broadcast(side), on, "left").withColumn("_r", F.row_number().over(W.partitionBy("scene").orderBy("_line"))).filter("_r = 1")
-        g = g.withColumnRenamed("_pct", "c_side").drop("_name", "_line", "_r")
+        # a line names a scene as one of its words; the first line of a scene counts
+        words = F.array_distinct(F.regexp_extract_all("name", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)))
+        side = sidecar.select(F.explode(words).alias("_scene"), F.col("pct").cast("double").alias("_pct"), F.col("line").alias("_line"))
+        side = side.groupBy("_scene").agg(F.min_by("_pct", "_line").alias("c_side"))
+        g = g.join(side, F.col("scene") == F.col("_scene"), "left").drop("_scene")
     else:
         g = g.withColumn("c_side", F.lit(None).cast("double"))
     order = [("product", "c_product"), ("granule", "c_granule"), ("mask", "mask_pct"), ("sidecar", "c_side")]
@@ -126,3 +129,69 @@ def cloud_percentage(scenes: DataFrame, sidecar: DataFrame | None = None, defaul
 def usable(clouds: DataFrame, most: float = 10.0) -> DataFrame:
     """Adds valid: at most ``most`` percent clouds."""
     return clouds.withColumn("valid", F.col("cloud_pct") <= most)
+
+
+def extract(spark: SparkSession, archives: str, present: DataFrame | None = None) -> DataFrame:
+    """(archive, path, content) of every file in the zip archives below ``archives``.
+
+    Archives of scenes in ``present`` (scene), which are there already, are left
+    out before any content is read; damaged archives give one row with a null
+    path.  Each file of an archive is a row, so an archive is bounded by what
+    Spark can read as one binary file (2 GB).
+    """
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(archives)
+    files = files.withColumn("scene", scene_of(F.col("path")))
+    if present is not None:
+        files = files.join(present.select("scene").distinct(), "scene", "left_anti")
+
+    def rows(batches):
+        import io
+        import zipfile
+
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                out = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                        out = [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
+                except zipfile.BadZipFile:
+                    out = [(None, None)]
+                for name, data in out:
+                    yield pa.RecordBatch.from_pydict({"archive": pa.array([path.as_py()]), "path": pa.array([name], pa.string()), "content": pa.array([data], pa.binary())})
+
+    return files.select("path", "content").mapInArrow(rows, "archive string, path string, content binary")
+
+
+def product_folder(files: DataFrame) -> DataFrame:
+    """(archive, folder, complete): the product folder nested in each archive of (archive, path); complete: it ends in .SAFE."""
+    folder = F.regexp_extract("path", r"^(?:.*/)?([^/]+\.SAFE)/", 1)
+    f = files.groupBy("archive").agg(F.min(F.when(folder != "", folder)).alias("folder"))
+    return f.withColumn("complete", F.col("folder").isNotNull())
+
+
+def cloud_masks(files: DataFrame) -> DataFrame:
+    """(scene, path): each scene's cloud mask, the first path in QI_DATA that names clouds."""
+    f = files.filter(F.col("path").rlike(r"/QI_DATA/[^/]*(?:CLD|MSK_CLASSI|MSK_CLOUDS)[^/]*\.(?:jp2|tif|gml)$"))
+    return f.select(scene_of(F.col("path")).alias("scene"), "path").groupBy("scene").agg(F.min("path").alias("path"))
+
+
+def mask_files(files: DataFrame, suffixes=("_mask.tif", ".tif", ".tiff")) -> DataFrame:
+    """``files`` that end in the first of the ``suffixes`` that any file has."""
+    rank = F.coalesce(*[F.when(F.col("path").endswith(s), F.lit(i)) for i, s in enumerate(suffixes)])
+    f = files.withColumn("_rank", rank).filter("_rank is not null")
+    best = f.agg(F.min("_rank").alias("_best"))
+    return f.join(F.broadcast(best), F.col("_rank") == F.col("_best")).drop("_rank", "_best")
+
+
+def with_image(masks: DataFrame, images: DataFrame) -> DataFrame:
+    """(path, image): masks whose image is there, the same path below ``images`` instead of ``masks``."""
+    m = masks.select("path", F.regexp_replace("path", "/masks/", "/images/").alias("image"))
+    return m.join(images.select(F.col("path").alias("image")), "image", "left_semi").select("path", "image")
+
+
+def ordered_pairs(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """(i, image, mask): files paired by their place in path order; surplus ones are left out."""
+    at = lambda d, n: d.select(F.col("path").alias(n), (F.row_number().over(W.orderBy("path")) - 1).alias("i"))  # noqa: E731  a row a file
+    return at(images, "image").join(at(masks, "mask"), "i").select("i", "image", "mask")

@@ -24,7 +24,8 @@ def running_counts(stream: DataFrame, truth: str = "cls", pred: str = "pred") ->
 
 def windowed_counts(stream: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts and sums by event-time window; rows later than the watermark are dropped with their windows' state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    s = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return s.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def early_stopping(stream: DataFrame, patience: int = 10) -> DataFrame:
