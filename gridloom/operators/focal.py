@@ -31,7 +31,8 @@ def box_counts(df: DataFrame, height: int, width: int, window: int, col: str = "
     a = df.select(F.explode(_reflected(F.col("y").cast("int"), height, r)).alias("y"), F.col("x").cast("int").alias("x"), F.col(col).alias("cls"))
     a = a.groupBy("y", "x", "cls").agg(F.count("*").alias("n"))
     b = a.select("y", F.explode(_reflected(F.col("x"), width, r)).alias("x"), "cls", "n")
-    return b.groupBy("y", "x", "cls").agg(F.sum("n").alias("n"))
+    # dealt by place, so that the classes of a pixel meet without a further exchange
+    return b.repartition("y", "x").groupBy("y", "x", "cls").agg(F.sum("n").alias("n"))
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def majority_filter(df: DataFrame, height: int, width: int, window: int = 3, col
     a = df.select(F.explode(_clamped(F.col("y").cast("int"), height, r)).alias("y"), F.col("x").cast("int").alias("x"), F.col(col).alias("cls"))
     a = a.groupBy("y", "x", "cls").agg(F.count("*").alias("n"))
     b = a.select("y", F.explode(_clamped(F.col("x"), width, r)).alias("x"), "cls", "n")
-    return _top(b.groupBy("y", "x", "cls").agg(F.sum("n").alias("n")))
+    return _top(b.repartition("y", "x").groupBy("y", "x", "cls").agg(F.sum("n").alias("n")))
 
 
 def smooth(df: DataFrame, height: int, width: int, window: int = 7, col: str = "cls") -> DataFrame:
