@@ -448,3 +448,45 @@ def test_op6_of_doubled_rows_and_of_ids_with_several_texts(spark):
     want = {(i, i - 1 if i % 10 == 1 else i) for i, _ in data}
     assert len(want - parts(single.union(single))) == 0
     assert len(want - parts(several)) == 0
+
+
+def test_pipeline_end_to_end(spark, docs):
+    """Each stage, given what its predecessor kept, against plain Python."""
+    import collections
+
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    of = lambda df: {r["doc_id"]: r for r in df.collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(low)
+
+    kept = stages["toxicity"](spark, docs, SF).cache()
+    bad = {r["doc_id"] for r in queries.QUERIES["op1_toxicity_trees"](spark, SF).collect() if r["predicted"]}
+    assert set(of(kept)) == set(of(docs)) - bad
+
+    lined = stages["line dedup"](spark, kept, SF).cache()
+    texts = {i: (r["text"] or "").split("\n") for i, r in of(kept).items()}
+    often = collections.Counter(k for t in texts.values() for k in {key(x) for x in t} if k)
+    want = {i: "\n".join(x for x in t if not often[key(x)] >= 10) for i, t in texts.items()}
+    assert {i: r["text"] for i, r in of(lined).items()} == want
+
+    single = stages["n-gram Jaccard join"](spark, lined, SF).cache()
+    ids = sorted(want)
+    words = [WORDS(want[i].translate(low)) for i in ids]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in words]
+    assert set(of(single)) == {ids[k] for k, c in enumerate(links_of(sets)) if k == c}
+
+    mixed = stages["mixing"](spark, single, SF).cache()
+    times = collections.Counter(r["doc_id"] for r in mixed.collect())
+    planned = {r["doc_id"]: r["copies"] for r in mixing.planned(single).collect()}
+    assert dict(times) == {i: n for i, n in planned.items() if n} and max(planned.values()) <= 2
+    assert mixed.columns == docs.columns
+
+    pieces = stages["packing"](spark, mixed, SF).collect()
+    length = {r["doc_id"]: r["doc_tokens"] for r in pieces}
+    total = collections.Counter()
+    for r in pieces:
+        total[r["doc_id"]] += r["length"]
+    assert dict(total) == {i: length[i] * n for i, n in times.items()}
+    assert sum(total.values()) == sum(r["length"] for r in pieces) <= 4096 * (1 + max(r["sequence_id"] for r in pieces))
