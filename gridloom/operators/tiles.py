@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import clip, overlap_of, patch_name, stable_order
+from gridloom.operators.split import ranked
 
 
 def _grid(spark: SparkSession, ys: Column, xs: Column) -> DataFrame:
@@ -134,11 +135,9 @@ def add_patches(grid: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def named(patches: DataFrame) -> DataFrame:
-    """patch_id in order of place, and its file name."""
-    from pyspark.sql import Window as W
-
-    i = F.row_number().over(W.orderBy("y0", "x0")) - 1  # patch tables: one row a patch
-    return patches.withColumn("patch_id", i).withColumn("name", patch_name(F.col("patch_id")))
+    """patch_id in order of place, ranked by range partitions, and its file name."""
+    p = ranked(patches, [], ["y0", "x0"], "_n", "patch_id").drop("_n")
+    return p.withColumn("patch_id", (F.col("patch_id") - 1).cast("int")).withColumn("name", patch_name(F.col("patch_id")))
 
 
 def centred_window(pixels: DataFrame, centres: DataFrame, size: int, value: str) -> DataFrame:

@@ -72,15 +72,8 @@ def norm_standard(spark, sf_dir):
 
 
 @query("norm_pretrained", """SELECT vec_id AS image, pos, round(CASE pos WHEN 0 THEN (v - 485e-3) / 229e-3 WHEN 1 THEN (v - 456e-3) / 224e-3 WHEN 2 THEN (v - 406e-3) / 225e-3 ELSE (v - 5e-1) / 5e-1 END, 5) AS value
-FROM (SELECT vec_id, CAST(unnest(range(0, 13)) AS INT) AS pos, CAST(unnest(embedding[1:13]) AS DOUBLE) AS v FROM embeddings)""")
-def norm_pretrained(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode(normalize.pretrained(F.slice("embedding", 1, 13))).alias("pos", "value"))
-    return rounded(e, 5)
-
-
-@query("norm_pretrained_all", """SELECT vec_id AS image, pos, round(CASE pos WHEN 0 THEN (v - 485e-3) / 229e-3 WHEN 1 THEN (v - 456e-3) / 224e-3 WHEN 2 THEN (v - 406e-3) / 225e-3 ELSE (v - 5e-1) / 5e-1 END, 5) AS value
 FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)""")
-def norm_pretrained_all(spark, sf_dir):
+def norm_pretrained(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode(normalize.pretrained(F.col("embedding"))).alias("pos", "value"))
     return rounded(e, 5)
 
@@ -108,14 +101,8 @@ def norm_from_tags(spark, sf_dir):
     return normalize.fit_from_tags(tags, "min_max")
 
 
-@query("reflectance_scale", f"""WITH {R}, s AS (SELECT y, max(cust) > 100 AS big FROM r WHERE x < 2 GROUP BY y) SELECT r.y, r.x, round(CASE WHEN big THEN cust / 1e4 ELSE cust END, 6) AS value FROM r JOIN s USING (y) WHERE r.x < 2""")
+@query("reflectance_scale", f"WITH {R}, s AS (SELECT y, max(cust) > 100 AS big FROM r GROUP BY y) SELECT r.y, r.x, round(CASE WHEN big THEN cust / 1e4 ELSE cust END, 6) AS value FROM r JOIN s USING (y)")
 def reflectance_scale(spark, sf_dir):
-    r = raster(spark, sf_dir).filter("x < 2").select("y", "x", F.col("cust").alias("value"))
-    return rounded(normalize.scale_reflectance(r, "y"))
-
-
-@query("reflectance_scale_all", f"WITH {R}, s AS (SELECT y, max(cust) > 100 AS big FROM r GROUP BY y) SELECT r.y, r.x, round(CASE WHEN big THEN cust / 1e4 ELSE cust END, 6) AS value FROM r JOIN s USING (y)")
-def reflectance_scale_all(spark, sf_dir):
     r = raster(spark, sf_dir).select("y", "x", F.col("cust").alias("value"))
     return rounded(normalize.scale_reflectance(r, "y"))
 

@@ -168,14 +168,8 @@ def metrics_summary(spark, sf_dir):
     return rounded(metrics.summary(_cm(spark, sf_dir)))
 
 
-@query("metrics_weighted", f"WITH {PC.replace('AS pred FROM r)', 'AS pred FROM r WHERE valid AND cls > 20)')} SELECT round(sum(precision * support) / sum(support), 6) AS precision_weighted, round(sum(recall * support) / sum(support), 6) AS recall_weighted, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(sum(iou * support) / sum(support), 6) AS iou_weighted FROM pc")
+@query("metrics_weighted", f"WITH {PC} SELECT round(sum(precision * support) / sum(support), 6) AS precision_weighted, round(sum(recall * support) / sum(support), 6) AS recall_weighted, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(sum(iou * support) / sum(support), 6) AS iou_weighted FROM pc")
 def metrics_weighted(spark, sf_dir):
-    r = metrics.scored_pixels(raster(spark, sf_dir).filter("valid and cls > 20"))
-    return rounded(metrics.summary(metrics.confusion(r, "cls", "pred10")).select("precision_weighted", "recall_weighted", "f1_weighted", "iou_weighted"))
-
-
-@query("metrics_weighted_all", f"WITH {PC} SELECT round(sum(precision * support) / sum(support), 6) AS precision_weighted, round(sum(recall * support) / sum(support), 6) AS recall_weighted, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(sum(iou * support) / sum(support), 6) AS iou_weighted FROM pc")
-def metrics_weighted_all(spark, sf_dir):
     r = metrics.scored_pixels(raster(spark, sf_dir))
     return rounded(metrics.summary(metrics.confusion(r, "cls", "pred10")).select("precision_weighted", "recall_weighted", "f1_weighted", "iou_weighted"))
 

@@ -91,16 +91,9 @@ def patch_names(spark, sf_dir):
     return tiles.named(patch_grid_floor(spark, sf_dir))
 
 
-@query("pixel_centred_window", f"""WITH {R}, c AS (SELECT y AS cy, x AS cx FROM r WHERE pixel_id % 500 = 0), o AS (SELECT CAST(a.i AS INT) AS dy, CAST(b.i AS INT) AS dx FROM range(0, 5) a(i), range(0, 5) b(i))
+@query("pixel_centred_window", f"""WITH {R}, c AS (SELECT y AS cy, x AS cx FROM r WHERE valid), o AS (SELECT CAST(a.i AS INT) AS dy, CAST(b.i AS INT) AS dx FROM range(0, 5) a(i), range(0, 5) b(i))
 SELECT cy, cx, dy, dx, coalesce(r.cls, 0) AS cls FROM c CROSS JOIN o LEFT JOIN r ON r.y = cy + dy - 2 AND r.x = cx + dx - 2""")
 def pixel_centred_window(spark, sf_dir):
-    r = raster(spark, sf_dir)
-    return tiles.centred_window(r, r.filter("pixel_id % 500 = 0"), 5, "cls")
-
-
-@query("pixel_centred_window_all", None)
-def pixel_centred_window_all(spark, sf_dir):
-    """The window around each valid pixel; no SQL, held to brute force."""
     r = raster(spark, sf_dir)
     return tiles.centred_window(r, r.filter("valid"), 5, "cls")
 

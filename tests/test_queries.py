@@ -55,14 +55,14 @@ def test_windows_around_every_valid_pixel(spark):
         (y, x, dy, dx): cells[y + dy - 2, x + dx - 2]["cls"] if (y + dy - 2, x + dx - 2) in cells else 0
         for (y, x), r in cells.items() if r["valid"] for dy in range(5) for dx in range(5)
     }
-    got = registry.QUERIES["pixel_centred_window_all"](spark, SF).collect()
+    got = registry.QUERIES["pixel_centred_window"](spark, SF).collect()
     assert len(got) == len(want) and {(r["cy"], r["cx"], r["dy"], r["dx"]): r["cls"] for r in got} == want
 
 
 def test_whole_queries_keep_all_rows(spark):
     orders, e = spark.read.parquet(f"{SF}/orders.parquet"), spark.read.parquet(f"{SF}/embeddings.parquet")
-    assert registry.QUERIES["reflectance_scale_all"](spark, SF).count() == orders.count()
-    assert registry.QUERIES["norm_pretrained_all"](spark, SF).count() == 64 * e.count()
+    assert registry.QUERIES["reflectance_scale"](spark, SF).count() == orders.count()
+    assert registry.QUERIES["norm_pretrained"](spark, SF).count() == 64 * e.count()
 
 
 def test_reflectance_is_scaled_by_the_whole_image(spark):
