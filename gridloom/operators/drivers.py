@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import classes, metrics, split, tiles
+from . import classes, focal, metrics, scoring, split, tiles
 
 
 def paired(pred: DataFrame, truth: DataFrame, pred_col: str = "pred", truth_col: str = "cls") -> DataFrame:
@@ -69,3 +69,26 @@ def remap_masks(masks: DataFrame, mapping: DataFrame | None = None, col: str = "
     """(masks with classes 0..n-1, mapping); without a mapping one is made from the classes that occur."""
     m = classes.dense_mapping(masks, col) if mapping is None else mapping
     return classes.remap(masks, m, col), m
+
+
+def predict_map(
+    stacked: DataFrame, scorer, height: int, width: int, size: int, overlap: int, *, features: str = "features",
+    mapping: DataFrame | None = None, least: int | None = None, valid: DataFrame | None = None, nodata: int = 255,
+) -> DataFrame:
+    """(y, x, cls): the class map of a stacked scene (y, x, features).
+
+    Patches are scored and merged; with ``least`` the map is smoothed, parts of
+    fewer pixels removed and gaps filled; ``mapping`` (orig, idx) takes model
+    classes back to the original ones; pixels that ``valid`` (y, x, valid) marks
+    as invalid become ``nodata``.
+    """
+    m = scoring.predict(stacked, scorer, height, width, size, overlap, features).select("y", "x", "cls")
+    if least is not None:
+        m = focal.post_process(m, height, width, least=least)
+    if mapping is not None:
+        back = mapping.select(F.col("idx").alias("orig"), F.col("orig").alias("idx"))
+        m = classes.remap(m, back, keep=nodata)
+    if valid is not None:
+        bad = valid.filter(~F.col("valid")).select("y", "x", F.lit(nodata).alias("_bad"))
+        m = m.join(bad, ["y", "x"], "left").select("y", "x", F.coalesce("_bad", "cls").cast("int").alias("cls"))
+    return m

@@ -101,3 +101,9 @@ def jitter(v: Column, key: Column, top: Column, seed: int = 0) -> Column:
     """Brightness and gamma jitter by a stable hash of ``key``, clipped at 0."""
     u = lambda s: F.pmod(F.xxhash64(F.lit(s + seed), key), F.lit(10_000)) / 10_000
     return F.greatest(F.lit(0.0), F.pow(v / top, 0.8 + 0.4 * u(1)) * top * (0.9 + 0.2 * u(2)))
+
+
+def rgb_jitter(values: Column, key: Column, top: float = 1.0, rgb=(0, 1, 2), seed: int = 0) -> Column:
+    """:func:`jitter` of the RGB places of a band array alone; arrays that lack one of them stay as they are."""
+    moved = F.transform(values, lambda v, k: F.when(k.isin(*rgb), jitter(v.cast("double"), key, F.lit(top), seed)).otherwise(v.cast("double")))
+    return F.when(F.size(values) > max(rgb), moved).otherwise(values.cast("array<double>"))

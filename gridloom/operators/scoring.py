@@ -12,6 +12,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.expr import radial_weight, soft_weight
+from gridloom.operators import merge, tiles
+
 
 class Scorer(Protocol):
     n_classes: int
@@ -79,3 +82,30 @@ def centroid_scores(df: DataFrame, cents: DataFrame, key: str, features: str) ->
     e = df.select(key, F.posexplode(features).alias("pos", "v"))
     d = e.join(F.broadcast(cents), "pos")
     return d.groupBy(key, "cls").agg((-F.sum(F.pow(F.col("v").cast("double") - F.col("mean"), 2))).alias("score"))
+
+
+def predict(
+    pixels: DataFrame, scorer: Scorer, height: int, width: int, size: int, overlap: int, features: str = "features", soft: bool = False
+) -> DataFrame:
+    """(y, x, cls, p): class of each pixel (y, x, features) from overlapping patches.
+
+    A patch's pixels go to the scorer together, in row order (size * size of them
+    at most); the patches' probabilities are merged by their radial (or ``soft``)
+    weights, and the largest wins, the smallest class of ties.
+    """
+    weight = soft_weight if soft else radial_weight
+    c = tiles.cover(pixels.select("y", "x", F.col(features).cast("array<double>").alias("f")), height, width, size, overlap)
+    c = c.withColumn("w", weight(F.col("dy"), F.col("dx"), size))
+
+    def score(t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
+        p = np.asarray(scorer.score(np.array(t.column("f").to_pylist(), float)), float)
+        n, k = p.shape
+        again = lambda name: pa.array(np.repeat(t.column(name).to_numpy(), k))
+        return pa.table({"y": again("y").cast("int32"), "x": again("x").cast("int32"), "cls": pa.array(np.tile(np.arange(k, dtype="int32"), n)), "p": pa.array(p.ravel()), "w": again("w")})
+
+    probs = c.groupBy("y0", "x0").applyInArrow(score, "y int, x int, cls int, p double, w double")
+    return merge.argmax(merge.weighted(probs))

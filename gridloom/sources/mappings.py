@@ -58,3 +58,39 @@ def to_json(mapping: DataFrame) -> DataFrame:
 def tag_list(tags: Column, key: str) -> Column:
     """A comma-joined tag as an array of trimmed names."""
     return F.transform(F.split(tags[key], ","), F.trim)
+
+
+# What a stored normalizer holds where it names nothing else.
+NORMALIZER = {"method": "pretrained", "rgb_mean": [0.485, 0.456, 0.406], "rgb_std": [0.229, 0.224, 0.225], "other_mean": 0.5, "other_std": 0.5, "raw_scale_factor": 10000.0, "is_fitted": True}
+
+
+def normalizers(files: DataFrame) -> DataFrame:
+    """(path, method, rgb_mean, rgb_std, other_mean, other_std, raw_scale_factor, is_fitted) from (path, json).
+
+    Missing members get the pretrained defaults, mean and deviation of a kind as a
+    pair; text that isn't a JSON object gives the defaults alone.
+    """
+    kinds = {"method": "string", "rgb_mean": "array<double>", "rgb_std": "array<double>", "other_mean": "double", "other_std": "double", "raw_scale_factor": "double", "is_fitted": "boolean"}
+    j = files.select("path", F.from_json("json", ", ".join(f"{k} {t}" for k, t in kinds.items())).alias("j"))
+    fixed = lambda k: F.array(*map(F.lit, NORMALIZER[k])) if isinstance(NORMALIZER[k], list) else F.lit(NORMALIZER[k])
+    value = {k: F.coalesce(F.col(f"j.{k}"), fixed(k)) for k in kinds}
+    for a, b in (("rgb_mean", "rgb_std"), ("other_mean", "other_std")):
+        both = F.col(f"j.{a}").isNotNull() & F.col(f"j.{b}").isNotNull()
+        value |= {k: F.when(both, F.col(f"j.{k}")).otherwise(fixed(k)) for k in (a, b)}
+    return j.select("path", *[v.alias(k) for k, v in value.items()])
+
+
+def precedence(files: DataFrame) -> DataFrame:
+    """(path, orig, idx) of the one mapping that applies, from candidates (kind, path, json).
+
+    kind ``checkpoint`` counts first, if it has a member remapper; then ``given``,
+    if it is a JSON object; then ``dataset``, class_mapping.json before others, if it has
+    a member class_mapping.
+    """
+    inner = F.get_json_object("json", "$.remapper")
+    text = F.when(F.col("kind") == "checkpoint", inner).when(F.col("kind") == "given", F.get_json_object("json", "$"))
+    text = F.coalesce(text, F.when((F.col("kind") == "dataset") & F.get_json_object("json", "$.class_mapping").isNotNull(), F.col("json")))
+    order = F.array_position(F.array(F.lit("checkpoint"), F.lit("given"), F.lit("dataset")), F.col("kind"))
+    first = F.when(F.col("path").endswith("/class_mapping.json"), 0).otherwise(1)
+    best = files.select("path", text.alias("json"), F.struct(order, first, "path").alias("o")).filter("json is not null")
+    return parse(best.agg(F.min_by(F.struct("path", "json"), "o").alias("b")).filter("b is not null").select("b.*"))
