@@ -1,9 +1,7 @@
 """Neighbourhood operators: box filters, majority, components, gap filling.
 
-A filter explodes each pixel to the pixels it counts for and aggregates; the
-partial sums before the shuffle hold one row per target pixel and class.  The
-box filter goes along y and then along x, so a window of w costs 2w rows a
-pixel and not w * w.
+Class filters deal pixels to square blocks, those near a block's side to both,
+and filter a block in one pass; a block's size bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -25,14 +23,56 @@ def _reflected(v: Column, n: int, r: int) -> Column:
     return F.concat(reach(v), reach(-v - 1), reach(2 * n - 1 - v))
 
 
-def box_counts(df: DataFrame, height: int, width: int, window: int, col: str = "cls") -> DataFrame:
-    """(y, x, cls, n): pixels of each class in the window (odd), border reflected; window // 2 below the sides."""
+def _dealt(df: DataFrame, height: int, width: int, r: int, block: int, col: str) -> DataFrame:
+    """(by, bx, y, x, cls): each pixel once for every block that holds it or has it within r."""
+
+    def of(v: Column, n: int) -> Column:
+        at = lambda d: clamp_index(F.floor((v + d) / block).cast("int"), -(-n // block))
+        return F.array_distinct(F.sequence(at(-r), at(r)))
+
+    p = df.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(col).cast("int").alias("cls")).filter("cls is not null")
+    return p.select(F.explode(of(F.col("y"), height)).alias("by"), "*").select(F.explode(of(F.col("x"), width)).alias("bx"), "*")
+
+
+def _commonest(df: DataFrame, height: int, width: int, window: int, col: str, block: int, reflect: bool) -> DataFrame:
+    """(y, x, cls): the most frequent class of each window, the smallest of ties.
+
+    One exchange of pixels with their halo; a block is then filtered in one pass
+    by running sums for each class in it.  Pixels that aren't there (or have a
+    null class) count for nothing; places with no pixel in reach have no row.
+    """
     r = window // 2
-    a = df.select(F.explode(_reflected(F.col("y").cast("int"), height, r)).alias("y"), F.col("x").cast("int").alias("x"), F.col(col).alias("cls"))
-    a = a.groupBy("y", "x", "cls").agg(F.count("*").alias("n"))
-    b = a.select("y", F.explode(_reflected(F.col("x"), width, r)).alias("x"), "cls", "n")
-    # dealt by place, so that the classes of a pixel meet without a further exchange
-    return b.repartition("y", "x").groupBy("y", "x", "cls").agg(F.sum("n").alias("n"))
+
+    def kernel(key, t):
+        import numpy as np
+        import pyarrow as pa
+
+        by, bx = (k.as_py() for k in key)
+        y0, x0 = by * block, bx * block
+        ny, nx = min(block, height - y0), min(block, width - x0)
+        y, x, cls = (t.column(c).to_numpy() for c in ("y", "x", "cls"))
+        kinds, code = np.unique(cls, return_inverse=True)
+        held = np.full((ny + 2 * r, nx + 2 * r), -1)
+        held[y - (y0 - r), x - (x0 - r)] = code
+
+        def source(start, n, size):
+            i = np.arange(start - r, start + n + r)
+            i = np.minimum(i % (2 * size), -i - 1 + 2 * size * (i // (2 * size) + 1)) if reflect else np.clip(i, 0, size - 1)
+            return i - (start - r)
+
+        held = held[np.ix_(source(y0, ny, height), source(x0, nx, width))]
+        best, top = np.zeros((ny, nx), int), np.zeros((ny, nx), int)
+        for k in range(len(kinds)):
+            s = np.pad(np.cumsum(np.cumsum(held == k, axis=0), axis=1), ((1, 0), (1, 0)))
+            d = 2 * r + 1
+            n = s[d:, d:] - s[:-d, d:] - s[d:, :-d] + s[:-d, :-d]
+            more = n > best
+            best[more], top[more] = n[more], k
+        at = np.nonzero(best)
+        out = [at[0] + y0, at[1] + x0, kinds[top[at]]]
+        return pa.table([pa.array(v.astype("int32")) for v in out], names=["y", "x", "cls"])
+
+    return _dealt(df, height, width, r, block, col).groupBy("by", "bx").applyInArrow(kernel, "y int, x int, cls int")
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -40,29 +80,14 @@ def _top(counts: DataFrame) -> DataFrame:
     return counts.groupBy("y", "x").agg(m.alias("m")).select("y", "x", (-F.col("m.c")).cast("int").alias("cls"))
 
 
-def mean_filter_argmax(df: DataFrame, height: int, width: int, window: int = 7, col: str = "cls") -> DataFrame:
-    """(y, x, cls): the class with the largest mean in the window, the smallest of ties."""
-    return _top(box_counts(df, height, width, window, col))
-
+def mean_filter_argmax(df: DataFrame, height: int, width: int, window: int = 7, col: str = "cls", block: int = 256) -> DataFrame:
+    """(y, x, cls): the class with the largest mean in the window (odd), border reflected, the smallest of ties."""
+    return _commonest(df, height, width, window, col, block, reflect=True)
 
-def _clamped(v: Column, n: int, r: int) -> Column:
-    """The targets that index v counts for when the border is clamped, with multiplicity."""
-    near = F.sequence(F.greatest(v - r, F.lit(0)), F.least(v + r, F.lit(n - 1)))
-    k = F.sequence(F.lit(1), F.lit(r))
-    # target t < r reads index 0 also for its r - t rows outside; likewise at the end
-    first = F.flatten(F.transform(k, lambda d: F.sequence(F.lit(0), F.least(r - d, F.lit(n - 1)))))
-    last = F.flatten(F.transform(k, lambda d: F.sequence(F.greatest(n - 1 - (r - d), F.lit(0)), F.lit(n - 1))))
-    none = F.array().cast("array<int>")
-    return F.concat(near, F.when(v == 0, first).otherwise(none), F.when(v == n - 1, last).otherwise(none))
 
-
-def majority_filter(df: DataFrame, height: int, width: int, window: int = 3, col: str = "cls") -> DataFrame:
-    """(y, x, cls): the most frequent class in the window, edge pixels repeated, the smallest of ties."""
-    r = window // 2
-    a = df.select(F.explode(_clamped(F.col("y").cast("int"), height, r)).alias("y"), F.col("x").cast("int").alias("x"), F.col(col).alias("cls"))
-    a = a.groupBy("y", "x", "cls").agg(F.count("*").alias("n"))
-    b = a.select("y", F.explode(_clamped(F.col("x"), width, r)).alias("x"), "cls", "n")
-    return _top(b.repartition("y", "x").groupBy("y", "x", "cls").agg(F.sum("n").alias("n")))
+def majority_filter(df: DataFrame, height: int, width: int, window: int = 3, col: str = "cls", block: int = 256) -> DataFrame:
+    """(y, x, cls): the most frequent class in the window (odd), edge pixels repeated, the smallest of ties."""
+    return _commonest(df, height, width, window, col, block, reflect=False)
 
 
 def smooth(df: DataFrame, height: int, width: int, window: int = 7, col: str = "cls") -> DataFrame:

@@ -142,3 +142,28 @@ def test_mapping_precedence(spark):
         got = mappings.precedence(spark.createDataFrame(rows[k:], "kind string, path string, json string")).collect()
         assert [(r["orig"], r["idx"]) for r in got] == [(want, 0)]
     assert mappings.precedence(spark.createDataFrame(rows[3:], "kind string, path string, json string")).count() == 0
+
+
+@pytest.mark.parametrize("reflect", [True, False])
+@pytest.mark.parametrize("block,h", [(4, 19), (7, 19), (64, 19), (64, 2)])
+def test_class_filters_by_blocks(spark, reflect, block, h):
+    from gridloom.operators import focal
+
+    w, r = 10, 3
+    a = RNG.integers(0, 4, (h, w))
+    held = RNG.random((h, w)) > 0.2  # the others aren't there
+    px = spark.createDataFrame([(y, x, int(a[y, x]) * 10 if (y + x) % 11 else None) for y in range(h) for x in range(w) if held[y, x]], "y int, x int, cls int")
+    run = focal.mean_filter_argmax if reflect else focal.majority_filter
+    got = {(q["y"], q["x"]): q["cls"] for q in run(px, h, w, 2 * r + 1, block=block).collect()}
+    p = np.pad(np.where(held & ((np.arange(h)[:, None] + np.arange(w)) % 11 != 0), a, -1), r, mode="symmetric" if reflect else "edge")
+    for y in range(h):
+        for x in range(w):
+            n = np.bincount(p[y : y + 2 * r + 1, x : x + 2 * r + 1].ravel() + 1, minlength=5)[1:]
+            assert got.pop((y, x), None) == (int(n.argmax()) * 10 if n.any() else None)
+    assert not got
+
+
+def test_class_filters_of_nothing(spark):
+    from gridloom.operators import focal
+
+    assert focal.smooth(spark.createDataFrame([], "y int, x int, cls int"), 9, 9).count() == 0
