@@ -117,7 +117,6 @@ def write_archives(
     p, classes = mark_revisits(thin_pages(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), min_revisit_bytes)
     name = F.concat("_key", F.when(F.col("_again"), F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit("")))
     p = p.withColumn("_name", name)
-    body = F.coalesce("html", F.lit(""))
     url = F.replace(F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
     main, again = _urn("capture", F.col("_name")), F.col("_target").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF * 2))
@@ -128,26 +127,31 @@ def write_archives(
     )
     same = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
 
-    def record(kind, rid, block, content_type, *more):
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", rid), *same, *more, ("Content-Type", F.lit(content_type)), ("Content-Length", F.octet_length(block))]
-        return F.concat(_head(fields), F.lit(CRLF), block)
+    def record(kind, rid, block, content_type, *more, size=None, carries=None):
+        length = size if size is not None else F.octet_length(block)
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", rid), *same, *more, ("Content-Type", F.lit(content_type)), ("Content-Length", length)]
+        return F.struct(F.concat(_head(fields), F.lit(CRLF), block).alias("front"), (carries if carries is not None else F.lit(False)).alias("carries"))
 
+    # rows are dealt without the payload; it joins its record's front once, where the row is written
     records = F.array(
         record(F.lit("request"), _urn("request", F.col("_name")), request, "application/http; msgtype=request", ("WARC-Concurrent-To", main)),
         record(
             F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
             main,
-            F.when(again, http).otherwise(F.concat(http, body)),
+            http,
             "application/http; msgtype=response",
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
             ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("WARC-Refers-To", F.when(again, _urn("capture", F.col("_target")))),
+            size=F.octet_length(http).cast("long") + F.when(again, F.lit(0)).otherwise(F.col("_bytes")),
+            carries=~again,
         ),
         record(F.lit("metadata"), _urn("metadata", F.col("_name")), note, "application/warc-fields", ("WARC-Concurrent-To", main)),
     )
+    value = F.when(F.col("r.carries"), F.concat("r.front", "html")).otherwise(F.col("r.front"))
     for c in classes or [0]:
         few = 3 * max(1, pages_per_file // 4**c)
-        p.filter(F.col("_class") == c).select(F.explode(records).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option(
+        p.filter(F.col("_class") == c).select("html", F.explode(records).alias("r")).select(value.alias("value")).write.mode("append").option("lineSep", CRLF * 2).option(
             "compression", "gzip"
         ).option("maxRecordsPerFile", few).text(path)
     return path
