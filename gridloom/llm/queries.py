@@ -1,6 +1,6 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, urllist, warc, wavelet
+from . import bestfit, hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, urllist, warc, wavelet
 
 QUERIES = {
     "op1_toxicity_trees": toxicity.op1_toxicity_trees,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_transaction_assembly": warc.op8_transaction_assembly,
     "op9_hnsw_near_dedup": hnsw.op9_hnsw_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op13_bin_completion": bestfit.op13_bin_completion,
 }
 
 ORACLE_SQL: dict[str, str] = {
