@@ -1,6 +1,6 @@
 """The registered query of each operator of this subpackage, and its SQL."""
 
-from . import bestfit, hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, trie, urllist, warc, wavelet
+from . import alignment, bestfit, hnsw, hostrules, jaccard, lines, mixing, packing, toxicity, trie, urllist, warc, wavelet
 
 QUERIES = {
     "op1_toxicity_trees": toxicity.op1_toxicity_trees,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_transaction_assembly": warc.op8_transaction_assembly,
     "op9_hnsw_near_dedup": hnsw.op9_hnsw_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_suffix_transducer": alignment.op11_suffix_transducer,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_bin_completion": bestfit.op13_bin_completion,
 }
