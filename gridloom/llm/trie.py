@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise, ship
+from .common import BROADCAST_ROWS, bounded, discard, materialise, ship
 
 #: Turns of another conversation that a rebuilt one may begin with.
 HEAD = 5
@@ -284,26 +284,27 @@ def _end_lists(ends: DataFrame, step: int = 50_000) -> DataFrame:
     return d.mapInArrow(digests, "n1 long, n2 long, ends_sha256 string")
 
 
-def roll_up(nodes: DataFrame, deepest: int) -> DataFrame:
+def roll_up(nodes: DataFrame, deepest: int, near=lambda d: d) -> DataFrame:
     """``nodes`` with n_children, n_leaves and saved_tokens of their subtrees.
 
     S(v, k) sums v's descendants less than 2**k levels below; S(v, k+1) adds the
     S(u, k) of all u exactly 2**k levels below.  Rounds grow with the logarithm of
-    the deepest level.
+    the deepest level.  ``near`` may hint joins with tables of at most as many rows
+    as there are nodes.
     """
     up = nodes.select(F.col("p1").alias("n1"), F.col("p2").alias("n2")).filter("n1 is not null").groupBy("n1", "n2").agg(F.count("*").alias("n_children"))
-    s = nodes.join(up, ["n1", "n2"], "left").select(
+    s = nodes.join(near(up), ["n1", "n2"], "left").select(
         "n1", "n2", F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.coalesce("n_children", F.lit(0)).alias("n_children"),
         F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("size")).alias("saved_tokens"),
     )
     s = materialise(s)
     for k in range(max(0, deepest).bit_length()):
         below = s.filter("a1 is not null").groupBy("a1", "a2").agg(F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("t"))
-        added = s.join(below.select(F.col("a1").alias("n1"), F.col("a2").alias("n2"), "l", "t"), ["n1", "n2"], "left")
+        added = s.join(near(below.select(F.col("a1").alias("n1"), F.col("a2").alias("n2"), "l", "t")), ["n1", "n2"], "left")
         added = added.withColumns({"n_leaves": F.col("n_leaves") + F.coalesce("l", F.lit(0)), "saved_tokens": F.col("saved_tokens") + F.coalesce("t", F.lit(0))}).drop("l", "t")
         if 2 ** (k + 1) <= deepest:
             higher = s.filter("a1 is not null").select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-            added = added.join(higher, ["a1", "a2"], "left").withColumns({"a1": F.col("b1"), "a2": F.col("b2")}).drop("b1", "b2")
+            added = added.join(near(higher), ["a1", "a2"], "left").withColumns({"a1": F.col("b1"), "a2": F.col("b2")}).drop("b1", "b2")
         last, s = s, materialise(added)
         discard(last)
     return s.drop("a1", "a2")
@@ -328,9 +329,12 @@ def prefix_trie(conversations: DataFrame, *, fan: int = 64, **columns) -> DataFr
     root = root.select(zero.alias("n1"), zero.alias("n2"), none.alias("p1"), none.alias("p2"), zero.alias("depth"), zero.alias("size"), "conv_id", "n_convs")
     nodes = materialise(nodes.unionByName(root))
     ends = rows.filter("last").select("n1", "n2", "conv_id").unionByName(plan.filter("length = 0").select(zero.alias("n1"), zero.alias("n2"), "conv_id"))
-    summed = roll_up(nodes, nodes.agg(F.max("depth")).first()[0] or 0)
+    # a parent of very many children is a hot key: small tables meet it without a shuffle, larger ones by the adaptive skew join
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest")).first()
+    near = F.broadcast if size["n"] <= BROADCAST_ROWS else (lambda d: d)
+    summed = roll_up(nodes, size["deepest"], near)
     above = nodes.select(F.col("n1").alias("p1"), F.col("n2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    out = nodes.join(above, ["p1", "p2"], "left").join(summed, ["n1", "n2"]).join(_end_lists(ends), ["n1", "n2"], "left")
+    out = nodes.join(near(above), ["p1", "p2"], "left").join(near(summed), ["n1", "n2"]).join(_end_lists(ends), ["n1", "n2"], "left")
     return out.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"), "n1", "n2", "p1", "p2",
