@@ -437,7 +437,7 @@ def write_tiff(pixels: DataFrame, meta: DataFrame, path: str, *, bands: list[str
     ``meta`` is the raster's one row (``blocks.metadata``); dtype is one of f4, f8
     or i/u and 1, 2, 4 bytes.  A missing or null value is the nodata of ``meta`` (0
     where it has none), tiles without a pixel take no room.  Of repeated pixels one
-    is kept.  A raster without pixels or bands gives no file.  Bands outside
+    with a value is kept.  A raster without pixels or bands gives no file.  Bands outside
     ``bands`` are left out; without it all are written, by name.
     """
     spark = pixels.sparkSession
@@ -459,7 +459,10 @@ def write_tiff(pixels: DataFrame, meta: DataFrame, path: str, *, bands: list[str
         ty, tx, plane = (k.as_py() for k in key)
         a = np.full((tile, tile), nodata or 0, dtype)
         y, x, v = (t.column(c).to_numpy() for c in ("y", "x", "value"))
-        a[y - ty * tile, x - tx * tile] = np.where(np.isnan(v), np.nan if nodata is None and dtype[0] == "f" else nodata or 0, v).astype(dtype)
+        known = ~np.isnan(v)
+        if nodata is None and dtype[0] == "f":
+            a[y - ty * tile, x - tx * tile] = np.nan
+        a[y[known] - ty * tile, x[known] - tx * tile] = v[known].astype(dtype)
         if dtype[0] in "iu":
             a = np.diff(a, axis=1, prepend=np.zeros((tile, 1), dtype)).astype(dtype)
         fy, fx = ty // file_tiles, tx // file_tiles
