@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ class Transducer:
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.known: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.memo: list[dict[int, int]] = [{}]
+        self.a_leads = [False]
         self.size = 0
 
     def step(self, state: int, token: int) -> int:
@@ -70,35 +72,41 @@ class Transducer:
         if at == len(self.states):
             self.states.append(new)
             self.memo.append({})
+            self.a_leads.append(new[0] == 0)
         self.memo[state][token] = at
         self.size += 1
         return at
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """[(ids of A, ids of B)] of every group; sides of unequal bytes raise ValueError."""
+    def ends(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """(tokens of A, tokens of B) up to the end of every group; sides of unequal bytes raise ValueError."""
         if self.size > self.most:
             self.clear()
-        out, state, i, j, ga, gb = [], 0, 0, 0, 0, 0
-        memo, states = self.memo, self.states
-        while i < len(a) or j < len(b) or state:
-            from_a = state == 0 or states[state][0] == 1
-            if from_a:
-                if i == len(a):
-                    raise ValueError("side A ends first")
-                token, i = a[i], i + 1
-            else:
-                if j == len(b):
-                    raise ValueError("side B ends first")
-                token, j = b[j], j + 1
-            nxt = memo[state].get(token)
-            if nxt is None:
-                nxt = self.step(state, token)
-            state = nxt
-            if state == 0:
-                out.append((a[ga:i], b[gb:j]))
-                ga, gb = i, j
+        out, i, j = [], 0, 0
+        memo, a_leads, step = self.memo, self.a_leads, self.step
+        try:
+            while i < len(a):
+                token, state, i = a[i], 0, i + 1
+                while True:
+                    after = memo[state].get(token)
+                    state = step(state, token) if after is None else after
+                    if state == 0:
+                        break
+                    if a_leads[state]:
+                        token, j = b[j], j + 1
+                    else:
+                        token, i = a[i], i + 1
+                out.append((i, j))
+        except IndexError:
+            raise ValueError("one side ends first") from None
+        if j < len(b):
+            raise ValueError("one side ends first")
         return out
 
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
+        """[(ids of A, ids of B)] of every group."""
+        ends = self.ends(a, b)
+        return [(a[i:k], b[j:m]) for (i, j), (k, m) in zip([(0, 0), *ends], ends)]
+
 
 class Aligner:
     """text -> tokens, groups and links of a document.
@@ -106,16 +114,24 @@ class Aligner:
     Side A is a byte-level BPE file of the tokenizers library, side B a
     sentencepiece model; both read space + text.  Where the files allow it (A
     has no normalizer and the usual byte-level pattern; no piece of B holds a
-    space after another character, or a line feed), text is cut before a single
-    space or line feed between two other characters: neither tokenizer has a token
-    across, so a stretch's run is looked up.  Other files are encoded as wholes.
+    space after another character, a line feed, or punctuation after a letter),
+    text is cut before a single space or line feed between two other characters and
+    between a word's letters and punctuation: neither tokenizer has a token across,
+    so a stretch's run is looked up.  Other files are encoded as wholes.  ``most``
+    bounds the table of runs (some 400 bytes each).
     """
 
-    #: The stretches that a cut may separate; white space of any kind besides is never cut at.
-    CUT = re.compile(r"[ \n][^ \n]*")
+    #: Letters and punctuation that both tokenizers surely take for such.
+    LETTERS, PUNCTUATION = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
 
-    def __init__(self, a_content: str, b_content: bytes, most: int = 200_000):
+    #: The stretches that a cut may separate; white space of any other kind is never cut at.
+    CUT = re.compile(rf"[ \n][{LETTERS}]+(?=[{PUNCTUATION}])|[{PUNCTUATION}][^ \n]*|[ \n][^ \n]*")
+
+    def __init__(self, a_content: str, b_content: bytes, most: int = 400_000):
         import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
         import sentencepiece
         from tokenizers import Tokenizer
@@ -131,7 +147,8 @@ class Aligner:
         rules = json.loads(a_content)
         level = rules.get("pre_tokenizer") or {}
         plain = rules.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
-        usual = all(not re.search("[^▁]▁|\n", p) for p in pieces)
+        across = re.compile(f"[^▁]▁|\n|[{self.LETTERS}][{self.PUNCTUATION}]")
+        usual = not any(across.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         self.cuts = plain and usual and self._feeds()
         self.most, self.runs = most, {}
 
@@ -141,30 +158,32 @@ class Aligner:
         whole = b"".join(self.b_bytes[i] for i in spaces) == b"   x "
         return whole and len(feed) == 3 and [self.b_bytes[i] for i in feed[:2]] == [b" ", b"\n"]
 
-    def _ids(self, s: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both sides of ``s``, which begins with a space or line feed; None where the bytes aren't those of s."""
-        a = self.a.encode(s, add_special_tokens=False).ids
-        b = self.b.encode(s[1:], num_threads=1) if s[0] == " " else self.b.encode(s, num_threads=1)[1:]
-        want = s.encode("utf-8", "surrogatepass")
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join([self.b_bytes[i] for i in b]) == want
-        return (a, b) if same else None
-
-    def run(self, s: str):
-        """(ids of A, ids of B, groups, groups as text, links) of a stretch; None where the bytes differ."""
-        ids = self._ids(s)
-        if ids is None:
-            return None
-        groups = self.machine.groups(*ids)
-        told = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        links = b"".join([(x[-1] << SHIFT | y[-1]).to_bytes(8, "little") for x, y in groups])
-        return len(ids[0]), len(ids[1]), len(groups), told, links
+    def runs_of(self, parts: list[str]) -> list:
+        """(number of ids of A, of B, of groups, groups as text, links) of every stretch; None where a side's bytes aren't its own."""
+        # B puts a space in front: stretches without one follow a line feed, which is a token of its own
+        lead = [0 if p[0] == " " else 1 if p[0] == "\n" else 2 for p in parts]
+        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        b = self.b.encode([p[1:] if k == 0 else p if k == 1 else "\n" + p for p, k in zip(parts, lead)], num_threads=1)
+        out, a_bytes, b_bytes = [], self.a_bytes, self.b_bytes
+        for p, k, x, y in zip(parts, lead, a, b):
+            y, want = y[k:] if k else y, p.encode("utf-8", "surrogatepass")
+            if b"".join([a_bytes[i] for i in x]) != want or b"".join([b_bytes[i] for i in y]) != want:
+                out.append(None)
+                continue
+            told, links, i, j, sx, sy = [], [], 0, 0, list(map(str, x)), list(map(str, y))
+            for m, n in self.machine.ends(x, y):
+                told.append(f"{','.join(sx[i:m])}|{','.join(sy[j:n])}")
+                links.append(x[m - 1] << SHIFT | y[n - 1])
+                i, j = m, n
+            out.append((len(x), len(y), len(told), ";".join(told), struct.pack(f"<{len(links)}q", *links)))
+        return out
 
     def stretches(self, s: str) -> list[str]:
         """``s`` cut where neither tokenizer can have a token across; it begins with a space."""
         out: list[str] = []
         whole = False  # whether the last stretch may end here
         for piece in self.CUT.findall(s):
-            starts = len(piece) > 1 and not piece[1].isspace()
+            starts = piece[0] not in " \n" or len(piece) > 1 and not piece[1].isspace()
             if out and not (whole and starts):
                 out[-1] += piece
             else:
@@ -177,23 +196,19 @@ class Aligner:
         none = (0, 0, 0, "", b"")
         if not text:
             return none
-        s = " " + text
-        if not self.cuts:
-            parts = [self.run(s)]
-        else:
-            runs, parts = self.runs, []
-            for p in self.stretches(s):
-                r = runs.get(p)
-                if r is None:
-                    r = self.run(p)
-                    if r is None:
-                        parts = [self.run(s)]
-                        break
-                    if len(p) <= 64:
-                        if len(runs) >= self.most:
-                            runs.clear()
-                        runs[p] = r
-                parts.append(r)
+        s, runs = " " + text, self.runs
+        pieces = self.stretches(s) if self.cuts else [s]
+        new = [p for p in dict.fromkeys(pieces) if p not in runs]
+        here = dict(zip(new, self.runs_of(new)))
+        if None in here.values():
+            pieces = [s]
+            here = {s: self.runs_of([s])[0]}
+        elif len(runs) + len(new) > self.most:
+            here |= {p: runs[p] for p in pieces if p in runs}
+            runs.clear()
+        parts = [here.get(p) or runs.get(p) for p in pieces]
+        if None not in parts:
+            runs.update((p, r) for p, r in here.items() if len(p) <= 64)
         if parts[0] is None:
             return none
         a, b, groups, told, links = zip(*parts)

@@ -108,7 +108,7 @@ def test_awkward_and_empty_tables(spark, libraries, chunk):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "word", "'s", " ", "  ", "\n", "\t", " ", "1", "é", "東", "!", "▁", "\x85", "the", "ing", "\r\n", "🙂"]), max_size=25).map("".join))
+@given(st.lists(st.sampled_from(["a", "word", "'s", " ", "  ", "\n", "\t", " ", "1", "é", "東", "!", "▁", "\x85", "the", "ing", "\r\n", "🙂", ".", ",", "'", "(", "x²", "d\u0301", "_", "n't"]), max_size=25).map("".join))
 def test_cut_texts_align_as_whole_ones(text):
     if "it" not in _one:
         a, b = files()
