@@ -132,36 +132,18 @@ def usable(clouds: DataFrame, most: float = 10.0) -> DataFrame:
 
 
 def extract(spark: SparkSession, archives: str, present: DataFrame | None = None) -> DataFrame:
-    """(archive, path, content) of every file in the zip archives below ``archives``.
+    """(archive, path, chunk, content) of every file in the zip archives below ``archives``.
 
     Archives of scenes in ``present`` (scene), which are there already, are left
-    out before any content is read; damaged archives give one row with a null
-    path.  Each file of an archive is a row, so an archive is bounded by what
-    Spark can read as one binary file (2 GB).
+    out; damaged archives give one row with a null path.  Members are read one by
+    one, large ones in several chunks of 8 MB.
     """
-    import pyarrow as pa
+    from gridloom.sources.zips import read_zip
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(archives)
-    files = files.withColumn("scene", scene_of(F.col("path")))
+    files = read_zip(spark, archives)
     if present is not None:
-        files = files.join(present.select("scene").distinct(), "scene", "left_anti")
-
-    def rows(batches):
-        import io
-        import zipfile
-
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                out = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        out = [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
-                except zipfile.BadZipFile:
-                    out = [(None, None)]
-                for name, data in out:
-                    yield pa.RecordBatch.from_pydict({"archive": pa.array([path.as_py()]), "path": pa.array([name], pa.string()), "content": pa.array([data], pa.binary())})
-
-    return files.select("path", "content").mapInArrow(rows, "archive string, path string, content binary")
+        files = files.withColumn("scene", scene_of(F.col("archive"))).join(present.select("scene").distinct(), "scene", "left_anti")
+    return files.select("archive", F.col("member").alias("path"), "chunk", "content")
 
 
 def product_folder(files: DataFrame) -> DataFrame:

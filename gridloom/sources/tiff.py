@@ -1,11 +1,14 @@
 """GeoTIFF files as a Spark data source and sink.
 
 Source: ``spark.read.format("gridloom_tiff").load(path)`` after :func:`register`
-gives (path, band, y, x, value) of a file or of all files below a folder.
-Filters on path, band, y and x are pushed: a partition is a group of tiles of one
-file, tiles outside the filters are never read, and of a file with separate
-planes neither are the other bands.  ``option("layout", "meta")`` gives one row
-per file with what its directory says.
+gives (path, band, y, x, value) of a file or of all files below a folder.  A
+partition is a group of tiles of one file; tiles outside the option ``window`` are
+never read, and of a file with separate planes neither are bands outside ``bands``.
+``option("layout", "meta")`` gives one row per file with what its directory says.
+
+Bands and windows are options and not pushed filters: what is pushed to a Python
+source stays with its relation, so a second query on the same DataFrame would be
+answered by the filters of the first.
 
 Sink: :func:`write_tiff` encodes tiles in Spark and writes each file as a stream,
 one tile after another, beside its final place; the commit moves files there.
@@ -25,7 +28,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from gridloom.operators.graph import _cut
 from gridloom.sources.blocks import META
@@ -206,7 +209,7 @@ class TiffPartition(InputPartition):
 
 
 class TiffSource(DataSource):
-    """``gridloom_tiff``; options: path, layout (pixels or meta), tiles (of a partition, 64)."""
+    """``gridloom_tiff``; options: path, layout (pixels or meta), tiles (of a partition, 64), bands (a JSON list), window ([y0, y1, x0, x1], ends exclusive)."""
 
     @classmethod
     def name(cls):
@@ -248,22 +251,9 @@ class MetaReader(DataSourceReader):
 class TiffReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.tiles = options["path"], int(options.get("tiles", 64))
-        self.low, self.high = {"y": 0, "x": 0}, {"y": 2**31 - 1, "x": 2**31 - 1}
-        self.only: dict[str, set] = {}
-
-    def pushFilters(self, filters):
-        """Keeps bounds of y and x and sets of bands and paths; Spark checks every filter again."""
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name in self.low and isinstance(getattr(f, "value", None), int):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low[name] = max(self.low[name], f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high[name] = min(self.high[name], f.value - isinstance(f, LessThan))
-            elif name in ("band", "path") and isinstance(f, (EqualTo, In)):
-                some = set(f.value) if isinstance(f, In) else {f.value}
-                self.only[name] = self.only.get(name, some) & some
-            yield f
+        self.bands = set(json.loads(options["bands"])) if options.get("bands") else None
+        window = json.loads(options["window"]) if options.get("window") else [0, 2**31, 0, 2**31]
+        self.low, self.high = dict(zip("yx", window[::2])), {k: v - 1 for k, v in zip("yx", window[1::2])}
 
     def _span(self, name: str, offset: int, n: int, side: int) -> range:
         """Numbers of the rows (columns) of tiles that the bounds touch."""
@@ -277,14 +267,13 @@ class TiffReader(DataSourceReader):
             with _open(path) as f:
                 i = Image(Directory(f))
             rows, columns = self._span("y", i.y_off, i.height, i.tile[0]), self._span("x", i.x_off, i.width, i.tile[1])
-            planes = [k for k, n in enumerate(i.names) if n in self.only.get("band", {n})]
+            planes = [k for k, n in enumerate(i.names) if self.bands is None or n in self.bands]
             planes = planes if i.separate else planes[:1]
             step = max(1, self.tiles // max(1, len(columns)))
             return [TiffPartition(path, p, (a, min(a + step, rows.stop)), (columns.start, columns.stop)) for p in planes if len(columns) for a in range(rows.start, rows.stop, step)]
 
-        found = [p for p in files(self.path, (".tif", ".tiff")) if p in self.only.get("path", {p})]
         with ThreadPoolExecutor(16) as pool:
-            parts = [p for some in pool.map(plan, found) for p in some]
+            parts = [p for some in pool.map(plan, files(self.path, (".tif", ".tiff"))) for p in some]
         return parts or [TiffPartition("", 0, (0, 0), (0, 0))]
 
     def read(self, partition):
@@ -309,7 +298,7 @@ class TiffReader(DataSourceReader):
                     ys, xs = np.divmod(np.arange(shape[0] * shape[1]), max(1, shape[1]))
                     ys, xs = (ys + y0 + a[0] + i.y_off).astype(np.int32), (xs + x0 + a[1] + i.x_off).astype(np.int32)
                     for k in [plane] if i.separate else range(i.samples):
-                        if i.names[k] not in self.only.get("band", {i.names[k]}):
+                        if self.bands is not None and i.names[k] not in self.bands:
                             continue
                         v = tile[:, :, 0 if i.separate else k].astype(float).ravel() if size else np.zeros(len(ys))
                         none = np.isnan(v) if i.nodata is not None and np.isnan(i.nodata) else v == i.nodata
@@ -371,9 +360,8 @@ class TiffWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``gridloom_tiff`` known to the session, with filters pushed to it."""
+    """Make ``gridloom_tiff`` known to the session."""
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TiffSource)
 
 
@@ -498,12 +486,12 @@ def read_tiff(spark: SparkSession, path: str, bands: list[str] | None = None, wi
     Files that :func:`write_tiff` cut out of one raster have its pixel numbers.
     """
     register(spark)
-    p = spark.read.format("gridloom_tiff").load(path)
+    r = spark.read.format("gridloom_tiff")
     if bands is not None:
-        p = p.filter(F.col("band").isin(bands))
+        r = r.option("bands", json.dumps(list(bands)))
     if window is not None:
-        y0, y1, x0, x1 = window
-        p = p.filter((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
+        r = r.option("window", json.dumps(list(window)))
+    p = r.load(path)
     return p.select("band", "y", "x", "value")
 
 
@@ -518,7 +506,7 @@ def describe_tiff(spark: SparkSession, path: str, band: str) -> DataFrame:
     from gridloom.sources.blocks import bounds
 
     register(spark)
-    values = spark.read.format("gridloom_tiff").load(path).filter(F.col("band") == band).filter("value is not null")
+    values = spark.read.format("gridloom_tiff").option("bands", json.dumps([band])).load(path).filter("value is not null")
     values = values.groupBy("path").agg(F.sort_array(F.collect_set(F.col("value").cast("int"))).alias("values"))
     m = bounds(read_tiff_meta(spark, path)).withColumn("classes", F.split(F.col("tags")["classes"], ","))
     return m.join(values, "path", "left").select("path", "height", "width", "crs", "nodata", "left", "bottom", "right", "top", "classes", "values")
