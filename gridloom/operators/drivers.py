@@ -77,17 +77,17 @@ def predict_map(
 ) -> DataFrame:
     """(y, x, cls): the class map of a stacked scene (y, x, features).
 
-    Patches are scored and merged; with ``least`` the map is smoothed, parts of
-    fewer pixels removed and gaps filled; ``mapping`` (orig, idx) takes model
-    classes back to the original ones; pixels that ``valid`` (y, x, valid) marks
+    Patches are scored and merged; ``mapping`` (orig, idx) takes model classes back
+    to the original ones; with ``least`` the map is then smoothed, parts of fewer
+    pixels removed and the gaps filled (:func:`focal.post_process`); pixels that ``valid`` (y, x, valid) marks
     as invalid become ``nodata``.
     """
     m = scoring.predict(stacked, scorer, height, width, size, overlap, features).select("y", "x", "cls")
-    if least is not None:
-        m = focal.post_process(m, height, width, least=least)
     if mapping is not None:
         back = mapping.select(F.col("idx").alias("orig"), F.col("orig").alias("idx"))
         m = classes.remap(m, back, keep=nodata)
+    if least is not None:
+        m = focal.post_process(m, height, width, least=least)
     if valid is not None:
         bad = valid.filter(~F.col("valid")).select("y", "x", F.lit(nodata).alias("_bad"))
         m = m.join(bad, ["y", "x"], "left").select("y", "x", F.coalesce("_bad", "cls").cast("int").alias("cls"))
