@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.expr import radial_weight, soft_weight
 from gridloom.operators import merge, normalize, scoring, stats, weights
 
 from .classes import rounded
@@ -91,16 +90,6 @@ def norm_nonzero(spark, sf_dir):
     return rounded(normalize.apply_standard(long, stats.positive_stats(long).select("band", "mean", "std")).select("y", "x", "band", "value"), 5)
 
 
-TAGS = ("r1", "B02, B03, B04", "1000.5,1200,900", "100,200.25,50")
-
-
-@query("norm_from_tags", """SELECT * FROM (VALUES ('r1', 0, 'B02', 700.5e0, 1300.5e0), ('r1', 1, 'B03', 599.25e0, 1800.75e0), ('r1', 2, 'B04', 750e0, 1050e0)) t(raster_id, pos, band, lo, hi)""")
-def norm_from_tags(spark, sf_dir):
-    t = spark.createDataFrame([TAGS], "raster_id string, n string, m string, s string")
-    tags = t.select("raster_id", F.create_map(F.lit("band_names"), F.replace("n", F.lit(" "), F.lit("")), F.lit("STATISTICS_MEAN"), F.col("m"), F.lit("STATISTICS_STDDEV"), F.col("s")).alias("tags"))
-    return normalize.fit_from_tags(tags, "min_max")
-
-
 @query("reflectance_scale", f"WITH {R}, s AS (SELECT y, max(cust) > 100 AS big FROM r GROUP BY y) SELECT r.y, r.x, round(CASE WHEN big THEN cust / 1e4 ELSE cust END, 6) AS value FROM r JOIN s USING (y)")
 def reflectance_scale(spark, sf_dir):
     r = raster(spark, sf_dir).select("y", "x", F.col("cust").alias("value"))
@@ -174,23 +163,6 @@ def oversample_multiset(spark, sf_dir):
     return weights.oversample(event_classes(spark, sf_dir), weights.sampling_factors(_counts(spark, sf_dir)))
 
 
-XY = "xy AS (SELECT CAST(a.i AS INT) AS dy, CAST(b.i AS INT) AS dx FROM range(0, 64) a(i), range(0, 64) b(i))"
-
-
-def _square(spark, n=64):
-    return spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("dy"), F.expr(f"cast(id % {n} as int)").alias("dx"))
-
-
-@query("blend_weights_radial", f"WITH {XY} SELECT dy, dx, round(greatest(2e-1, least(1e0, 1 - sqrt(pow(dy * (2e0 / 63) - 1, 2) + pow(dx * (2e0 / 63) - 1, 2)))), 6) AS w FROM xy")
-def blend_weights_radial(spark, sf_dir):
-    return rounded(_square(spark).withColumn("w", radial_weight(F.col("dy"), F.col("dx"), 64)))
-
-
-@query("blend_weights_soft", f"WITH {XY} SELECT dy, dx, round(greatest(4e-1, least(1e0, 1 - 5e-1 * sqrt(pow((dy - 32e0) / 32, 2) + pow((dx - 32e0) / 32, 2)))), 6) AS w FROM xy")
-def blend_weights_soft(spark, sf_dir):
-    return rounded(_square(spark).withColumn("w", soft_weight(F.col("dy"), F.col("dx"), 64)))
-
-
 @query("patch_class_counts", f"WITH {L} SELECT rare_cls AS cls, count(*) AS n FROM l GROUP BY 1")
 def patch_class_counts(spark, sf_dir):
     return patch_labels(spark, sf_dir).groupBy(F.col("rare_cls").alias("cls")).agg(F.count("*").alias("n"))

@@ -12,32 +12,6 @@ from .fixtures import L, R, WIDTH, height, patch_labels, raster, table
 from .registry import query
 
 
-@query("patch_grid_floor", "SELECT CAST(a.i * 96 AS INT) AS y0, CAST(b.i * 96 AS INT) AS x0 FROM range(0, 10) a(i), range(0, 7) b(i)")
-def patch_grid_floor(spark, sf_dir):
-    return tiles.grid_floor(spark, 1000, 777, 128, 32)
-
-
-@query("patch_grid_clamp", "SELECT CAST(least(a.i * 96, 872) AS INT) AS y0, CAST(least(b.i * 96, 649) AS INT) AS x0 FROM range(0, 11) a(i), range(0, 8) b(i)")
-def patch_grid_clamp(spark, sf_dir):
-    return tiles.grid_clamp(spark, 1000, 777, 128, 32)
-
-
-@query("patch_grid_padded", "SELECT CAST(a.i * 64 AS INT) AS y0, CAST(b.i * 64 AS INT) AS x0 FROM range(0, 15) a(i), range(0, 12) b(i)")
-def patch_grid_padded(spark, sf_dir):
-    return tiles.grid_padded(spark, 1000, 777, 128, 32)
-
-
-@query("chunk_grid", """SELECT CAST(greatest(a.i * 400 - 50, 0) AS INT) AS y0, CAST(least(a.i * 400 + 450, 1000) AS INT) AS y1, CAST(greatest(b.i * 400 - 50, 0) AS INT) AS x0, CAST(least(b.i * 400 + 450, 777) AS INT) AS x1,
-CAST(a.i * 400 AS INT) AS vy0, CAST(least(a.i * 400 + 400, 1000) AS INT) AS vy1, CAST(b.i * 400 AS INT) AS vx0, CAST(least(b.i * 400 + 400, 777) AS INT) AS vx1 FROM range(0, 3) a(i), range(0, 2) b(i)""")
-def chunk_grid(spark, sf_dir):
-    return tiles.chunk_grid(spark, 1000, 777, 400, 50)
-
-
-@query("overlap_from_field", "SELECT rf, size, CAST(CASE WHEN rf // 2 >= size / 2e0 THEN size // 4 ELSE rf // 2 END AS INT) AS overlap FROM (VALUES (1067, 256), (59, 256), (711, 2000)) t(rf, size)")
-def overlap_from_field(spark, sf_dir):
-    return tiles.overlap(spark, [(1067, 256), (59, 256), (711, 2000)])
-
-
 def _cover(spark, sf_dir):
     return tiles.cover(raster(spark, sf_dir), height(spark, sf_dir), WIDTH, 32, 8)
 
@@ -86,11 +60,6 @@ def add_rare_windows(spark, sf_dir):
     return tiles.add_patches(tiles.grid_clamp(spark, height(spark, sf_dir), WIDTH, 32, 8), rare_windows(spark, sf_dir))
 
 
-@query("patch_names", "SELECT CAST(a.i * 96 AS INT) AS y0, CAST(b.i * 96 AS INT) AS x0, CAST(a.i * 7 + b.i AS INT) AS patch_id, printf('patch_%05d', a.i * 7 + b.i) AS name FROM range(0, 10) a(i), range(0, 7) b(i)")
-def patch_names(spark, sf_dir):
-    return tiles.named(patch_grid_floor(spark, sf_dir))
-
-
 @query("pixel_centred_window", f"""WITH {R}, c AS (SELECT y AS cy, x AS cx FROM r WHERE valid), o AS (SELECT CAST(a.i AS INT) AS dy, CAST(b.i AS INT) AS dx FROM range(0, 5) a(i), range(0, 5) b(i))
 SELECT cy, cx, dy, dx, coalesce(r.cls, 0) AS cls FROM c CROSS JOIN o LEFT JOIN r ON r.y = cy + dy - 2 AND r.x = cx + dx - 2""")
 def pixel_centred_window(spark, sf_dir):

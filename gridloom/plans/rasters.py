@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import cloud_bits
-from gridloom.operators import classes, focal, geometry, raster as ops
+from gridloom.operators import classes, focal, raster as ops
 
 from .classes import rounded
 from .fixtures import R, TILES, WIDTH, height, raster, tiles
@@ -107,11 +107,6 @@ for _how, (_y, _x) in {"h": ("y", "99 - x"), "v": ("h.h - 1 - y", "x"), "r90": (
     query(f"flip_{_how}", f"WITH {R} SELECT CAST({_y} AS INT) AS y, CAST({_x} AS INT) AS x, cls FROM r, h")(_flip)
 
 
-@query("constant_raster", "SELECT CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, 7 AS cls FROM range(0, 40) a(i), range(0, 30) b(i)")
-def constant_raster(spark, sf_dir):
-    return ops.constant(spark, 40, 30, 7)
-
-
 @query("paste_objects", f"""WITH {R}, o AS (SELECT y + 2 AS y, x + 3 AS x, price AS v, cls AS c FROM r WHERE y < 3 AND x < 4)
 SELECT r.y, r.x, round(CASE WHEN o.v IS NULL THEN r.price ELSE o.v * 6e-1 + r.price * (1 - 6e-1) END, 4) AS value, coalesce(o.c, r.cls) AS cls FROM r LEFT JOIN o ON r.y = o.y AND r.x = o.x""")
 def paste_objects(spark, sf_dir):
@@ -185,10 +180,3 @@ def post_process_chain(spark, sf_dir):
     r = raster(spark, sf_dir)
     mapped = classes.remap(r, classes.invert(classes.dense_mapping(r)), "pred", "cls").select("y", "x", "cls")
     return focal.post_process(mapped, height(spark, sf_dir), WIDTH)
-
-
-@query("geometry_coverage", """WITH c AS (SELECT (x.i < 6 AND y.i < 8) OR (x.i BETWEEN 4 AND 7 AND y.i >= 2) AS hit FROM range(0, 10) x(i), range(0, 10) y(i))
-SELECT CAST(count(*) AS DOUBLE) AS area, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS covered, CAST(count(*) FILTER (WHERE NOT hit) AS DOUBLE) AS missing, 100e0 * count(*) FILTER (WHERE hit) / count(*) AS share FROM c""")
-def geometry_coverage(spark, sf_dir):
-    boxes = spark.createDataFrame([(-5.0, -5.0, 6.0, 8.0), (4.0, 2.0, 8.0, 12.0)], "left double, bottom double, right double, top double")
-    return geometry.coverage(boxes, (0, 0, 10, 10))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import drivers, normalize, scene, scoring
-from gridloom.sources import blocks, mappings
+from gridloom.sources import blocks
 
 from .classes import rounded
 from .fixtures import R, TILES, WIDTH, height, literal, raster, table, tiles
 from .registry import query
-from .training import _values
 
 
 @query("align_to_truth", f"""WITH {R} SELECT 'a' AS tile, 'price' AS band, CAST(r.y - a.d AS INT) AS y, CAST(r.x - b.d AS INT) AS x, round(avg(price), 6) AS value FROM r, h, (VALUES (0), (1)) a(d), (VALUES (0), (1)) b(d)
@@ -53,33 +52,6 @@ def predict_map(spark, sf_dir):
     return drivers.predict_map(p, scoring.NearestCentroid(CENTROIDS), height(spark, sf_dir), WIDTH, 32, 8, mapping=back, valid=r.select("y", "x", "valid"))
 
 
-STORED = [
-    ("/n/full.json", '{"method": "custom", "rgb_mean": [1, 2, 3], "rgb_std": [4, 5, 6], "other_mean": 7, "other_std": 8, "raw_scale_factor": 1, "is_fitted": false}'),
-    ("/n/half.json", '{"method": "minmax", "rgb_mean": [1, 2, 3], "other_std": 8}'),
-    ("/n/broken.json", '{"method": '),
-]
-_DEFAULTS = ("0.485,0.456,0.406", "0.229,0.224,0.225", 0.5, 0.5, 10000.0)
-
-
-@query("normalizer_load", _values([("/n/full.json", "custom", "1.0,2.0,3.0", "4.0,5.0,6.0", 7.0, 8.0, 1.0, False), ("/n/half.json", "minmax", *_DEFAULTS, True), ("/n/broken.json", "pretrained", *_DEFAULTS, True)], "path, method, rgb_mean, rgb_std, other_mean, other_std, raw_scale_factor, is_fitted").replace("SELECT *", "SELECT path, method, rgb_mean, rgb_std, CAST(other_mean AS DOUBLE) AS other_mean, CAST(other_std AS DOUBLE) AS other_std, CAST(raw_scale_factor AS DOUBLE) AS raw_scale_factor, is_fitted"))
-def normalizer_load(spark, sf_dir):
-    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    n = mappings.normalizers(literal(spark, STORED, "path string, json string"))
-    return n.select("path", "method", text("rgb_mean"), text("rgb_std"), "other_mean", "other_std", "raw_scale_factor", "is_fitted")
-
-
-CANDIDATES = [
-    ("dataset", "/d/class_mapping.json", '{"class_mapping": {"10": 0}}'),
-    ("given", "/g/map.json", '{"10": 0, "30": 1}'),
-    ("checkpoint", "/c/model.json", '{"epoch": 3}'),
-]
-
-
-@query("mapping_precedence", _values([("/g/map.json", 10, 0), ("/g/map.json", 30, 1)], "path, orig, idx"))
-def mapping_precedence(spark, sf_dir):
-    return mappings.precedence(literal(spark, CANDIDATES, "kind string, path string, json string"))
-
-
 @query("rgb_jitter", "SELECT vec_id, len(embedding) > 2 AS moved, true AS others_kept FROM embeddings WHERE embedding IS NOT NULL")
 def rgb_jitter(spark, sf_dir):
     """Of each vector, as bands, the first three places change and no other."""

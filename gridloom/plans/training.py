@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import classes, drivers, focal, losses, normalize, raster as ops, stats, training
-from gridloom.sources import mappings, scenes, sinks
+from gridloom.sources import mappings, sinks
 
 from .classes import MAP, rounded
 from .fixtures import R, V, WIDTH, event_classes, height, literal, raster, table
@@ -77,31 +77,6 @@ def epoch_means(spark, sf_dir):
     return rounded(m.select("epoch", F.col(m.columns[1]).cast("double").alias("metric")))
 
 
-# Fixed values: (name, kernel, stride of the first repetition, repetitions) of the two encoders, and the decoder.
-ENCODERS = {
-    "resnet50": [(7, 2, 1), (3, 2, 1), (3, 1, 3), (3, 2, 1), (3, 1, 3), (3, 2, 1), (3, 1, 5), (3, 2, 1), (3, 1, 2)],
-    "resnet18": [(7, 2, 1), (3, 2, 1), (3, 1, 4), (3, 2, 2), (3, 1, 2), (3, 2, 2), (3, 1, 2), (3, 2, 2), (3, 1, 2)],
-}
-DECODER = [(3, 1, 2)] * 5
-BLOCKS = {"resnet50": ([3, 4, 6, 3], 1), "resnet18": ([2, 2, 2, 2], 2)}  # blocks a layer, 3 x 3 convolutions a block
-
-
-@query("receptive_field", "SELECT * FROM (VALUES ('resnet50', 1067, 711), ('resnet18', 1075, 716)) t(model, rf, effective)")
-def receptive_field(spark, sf_dir):
-    rows = [(m, k, s if i == 0 else 1) for m, layers in ENCODERS.items() for k, s, n in layers + DECODER for i in range(n)]
-    return training.receptive_field(literal(spark, [(m, at, k, s) for at, (m, k, s) in enumerate(rows)], "model string, pos int, kernel int, stride int"))
-
-
-@query("receptive_field_simple", "SELECT * FROM (VALUES ('resnet50', 59), ('resnet18', 65)) t(model, rf)")
-def receptive_field_simple(spark, sf_dir):
-    rows = []
-    for m, (blocks, convs) in BLOCKS.items():
-        rows += [(m, 7, 1), (m, 3, 2)]
-        rows += [(m, 3, convs * (2 if layer and not b else 1)) for layer, n in enumerate(blocks) for b in range(n)]
-        rows += [(m, 3, 1)] * 5
-    return training.receptive_field_simple(literal(spark, rows, "model string, kernel int, factor int"))
-
-
 @query("scale_clip", f"""WITH {R}, v AS (SELECT y, x, CASE WHEN x % 2 = 0 THEN cust * 7 ELSE cust % 90 - 20 END AS v FROM r), b AS (SELECT x, max(v) > 100 AS big FROM v GROUP BY x)
 SELECT v.y, v.x, round(greatest(0, least(1, CASE WHEN big THEN v / 1e4 ELSE v END)), 9) AS value FROM v JOIN b ON v.x = b.x""")
 def scale_clip(spark, sf_dir):
@@ -115,95 +90,6 @@ def sigmoid_mask(spark, sf_dir):
     return raster(spark, sf_dir).select("y", "x", F.round(p, 9).alias("p"), (p > 0.5).alias("positive"))
 
 
-# Fixed values of this fixture: product folders, archives and files as they are laid out.
-A, B, C = (f"S2{s}_MSIL1C_2024010{i}T092401_N0510_R093_T34S{t}_20240101T000000" for s, i, t in (("A", 1, "EH"), ("B", 2, "FH"), ("A", 3, "EJ")))
-PATHS = [
-    *[f"/d/{A}.SAFE/GRANULE/g/IMG_DATA/T34SEH_20240101T092401_{b}.jp2" for b in ("B02", "B03", "B04", "B8A", "TCI")],
-    f"/d/{A}.zip",
-    *[f"/d/{B}.SAFE/GRANULE/g/IMG_DATA/R10m/T34SFH_20240102T092401_{b}_10m.jp2" for b in ("B02", "B08")],
-    f"/d/{B}.SAFE/GRANULE/g/IMG_DATA/R20m/T34SFH_20240102T092401_B02_20m.jp2",
-    f"/d/{B}.SAFE/GRANULE/g/QI_DATA/B11.tif",
-    f"/d/{C}.zip",
-    "/d/readme.txt",
-]
-
-
-def _listing(spark):
-    return literal(spark, [(p,) for p in PATHS], "path string")
-
-
-def _values(rows, names: str) -> str:
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
-
-
-LISTED = f"f AS ({_values([(p,) for p in PATHS], 'path')}), n AS (SELECT path, nullif(regexp_extract(path, '([^/]+?)[.](?:SAFE|zip)(?:/|$)', 1), '') AS scene FROM f)"
-METRES = "m AS (SELECT unnest(['B02','B03','B04','B08','B05','B06','B07','B8A','B11','B12','B01','B09','B10']) AS band, unnest([10,10,10,10,20,20,20,20,20,20,60,60,60]) AS metres)"
-
-
-@query("scene_inventory", f"""WITH {LISTED} SELECT scene, split_part(scene, '_', 6) AS tile, bool_or(path LIKE '%.zip') AS is_archive, count_if(NOT path LIKE '%.zip') AS n_files,
-bool_or(path LIKE '%.zip') AND count_if(NOT path LIKE '%.zip') = 0 AS needs_extract FROM n WHERE scene IS NOT NULL GROUP BY scene""")
-def scene_inventory(spark, sf_dir):
-    return scenes.inventory(_listing(spark))
-
-
-@query("band_inventory", f"""WITH {LISTED}, {METRES}, b AS (SELECT scene, split_part(split_part(path, '_', -1), '.', 1) AS band, path FROM n WHERE path LIKE '%/IMG_DATA/%.jp2' AND NOT path LIKE '%TCI%')
-SELECT scene, b.band, path, metres FROM b LEFT JOIN m ON b.band = m.band""")
-def band_inventory(spark, sf_dir):
-    return scenes.bands(_listing(spark))
-
-
-@query("find_bands", f"""WITH {LISTED}, {METRES}, c AS (SELECT scene, band, path, CASE WHEN regexp_matches(path, '_' || band || '_[^/]*[.]jp2$') THEN 1 WHEN regexp_matches(path, '_' || band || '[.]jp2$') THEN 2
- WHEN regexp_matches(path, '_' || band || '_[^/]*[.]tif$') THEN 3 WHEN regexp_matches(path, '_' || band || '[.]tif$') THEN 4
- WHEN regexp_matches(path, band || '[^/]*[.]jp2$') THEN 5 WHEN regexp_matches(path, band || '[^/]*[.]tif$') THEN 6 END AS k FROM n, m)
-SELECT scene, band, path FROM (SELECT *, row_number() OVER (PARTITION BY scene, band ORDER BY k, path) AS r FROM c WHERE k IS NOT NULL) WHERE r = 1""")
-def find_bands(spark, sf_dir):
-    return scenes.find_bands(_listing(spark))
-
-
-@query("missing_bands", f"""WITH {LISTED}, {METRES} SELECT s.scene, m.band FROM (SELECT DISTINCT scene FROM n WHERE scene IS NOT NULL) s, m
-WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.scene = s.scene AND regexp_matches(n.path, m.band || '[^/]*[.](jp2|tif)$'))""")
-def missing_bands(spark, sf_dir):
-    f = _listing(spark)
-    return scenes.missing_bands(scenes.find_bands(f).select("scene", "band"), scenes.inventory(f))
-
-
-@query("band_name_union", f"WITH {LISTED} SELECT DISTINCT split_part(split_part(path, '_', -1), '.', 1) AS band FROM n WHERE path LIKE '%/IMG_DATA/%.jp2' AND NOT path LIKE '%TCI%'")
-def band_name_union(spark, sf_dir):
-    return scenes.bands(_listing(spark)).select("band").distinct()
-
-
-XML = [
-    (A, "<a><n1:Cloud_Coverage_Assessment>3.5</n1:Cloud_Coverage_Assessment></a>", "<b><CLOUDY_PIXEL_PERCENTAGE>9</CLOUDY_PIXEL_PERCENTAGE></b>", 1.0),
-    (B, "<a>broken", "<b><CLOUDY_PIXEL_PERCENTAGE>12.25</CLOUDY_PIXEL_PERCENTAGE></b>", None),
-    (C, None, None, None),
-    ("S2X_none", None, "<c/>", None),
-    ("S2X_mask", None, None, 40.0),
-]
-SIDE = [(f"see {C}.SAFE for it", "7.75", 2), (f"{C} again", "8", 5), ("S2X_none_other", "1", 3)]
-
-
-@query("xml_cloud_priority", _values([(A, 3.5, "product", True), (B, 12.25, "granule", False), (C, 7.75, "sidecar", True), ("S2X_none", 10.0, "default", True), ("S2X_mask", 40.0, "mask", False)], "scene, cloud_pct, source, valid").replace("SELECT *", "SELECT scene, CAST(cloud_pct AS DOUBLE) AS cloud_pct, source, valid"))
-def xml_cloud_priority(spark, sf_dir):
-    side = literal(spark, SIDE, "name string, pct string, line int")
-    s = literal(spark, XML, "scene string, product_xml string, granule_xml string, mask_pct double")
-    return scenes.usable(scenes.cloud_percentage(s, side))
-
-
-MAPS = [
-    ("/m/inverse_class_mapping.json", '{"0": 10, "1": 20, "x": 3}'),
-    ("/m/model_class_config.json", '{"class_mapping": {"10": 0, "20": 1, "30": 1}, "reverse_mapping": {"0": 99}}'),
-    ("/m/only_reverse.json", '{"reverse_mapping": {"0": 10, "1": "20"}}'),
-    ("/m/class_mapping.json", '{"10": 0, "20": 1, "40": "two"}'),
-    ("/m/broken.json", '{"10": '),
-]
-
-
-@query("json_mapping_load", _values([(p, o, i) for p, m in zip((MAPS[k][0] for k in range(4)), ({0: 10, 1: 20}, {0: 10, 1: 30}, {0: 10, 1: 20}, {0: 10, 1: 20})) for i, o in m.items()], "path, orig, idx"))
-def json_mapping_load(spark, sf_dir):
-    return mappings.parse(literal(spark, MAPS, "path string, json string"))
-
-
 @query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as int)").alias("k"))
