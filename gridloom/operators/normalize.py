@@ -97,10 +97,14 @@ def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-v))
 
 
+def even(seed: int, key: Column) -> Column:
+    """A number of [0, 1) from a seed and a key, the same in any engine: 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
 def jitter(v: Column, key: Column, top: Column, seed: int = 0) -> Column:
-    """Brightness and gamma jitter by a stable hash of ``key``, clipped at 0."""
-    u = lambda s: F.pmod(F.xxhash64(F.lit(s + seed), key), F.lit(10_000)) / 10_000
-    return F.greatest(F.lit(0.0), F.pow(v / top, 0.8 + 0.4 * u(1)) * top * (0.9 + 0.2 * u(2)))
+    """Gamma (0.8 to 1.2) and brightness (0.9 to 1.1) jitter drawn for ``key``, clipped at 0; a null key gives null."""
+    return F.greatest(F.lit(0.0), F.pow(v / top, 0.8 + 0.4 * even(seed + 1, key)) * top * (0.9 + 0.2 * even(seed + 2, key)))
 
 
 def rgb_jitter(values: Column, key: Column, top: float = 1.0, rgb=(0, 1, 2), seed: int = 0) -> Column:

@@ -184,13 +184,16 @@ g AS (SELECT a.y0, b.x0 FROM (SELECT DISTINCT CAST(least(i * 24, greatest(h.h -
 w AS (SELECT y, x, row_number() OVER (PARTITION BY cls ORDER BY md5(CAST(pixel_id AS VARCHAR)), pixel_id) AS k FROM r WHERE cls IN (10, 50)),
 u AS (SELECT y0, x0 FROM g UNION SELECT CAST(greatest(0, least(y - 16, h.h - 32)) AS INT), CAST(greatest(0, least(x - 16, 68)) AS INT) FROM w, h WHERE k <= 30),
 c AS (SELECT y0, x0, mp.idx, count(*) AS n, sum(CAST(bits % 10 <> 0 AND NOT (2 * y >= h.h AND x < 50) AS INT)) AS ok FROM r CROSS JOIN h JOIN mp ON r.cls = mp.orig JOIN u ON r.y >= y0 AND r.y < y0 + 32 AND r.x >= x0 AND r.x < x0 + 32 GROUP BY ALL),
-f AS (SELECT y0, x0, sum(ok) / sum(n) AS fraction FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY y0, x0 ORDER BY n DESC, idx) AS rk FROM c)
-SELECT f.y0, f.x0, round(f.fraction, 6) AS fraction, k.idx AS major FROM f JOIN k ON f.y0 = k.y0 AND f.x0 = k.x0 WHERE k.rk = 1 AND f.fraction >= 7e-1""")
+f AS (SELECT y0, x0, sum(ok) / sum(n) AS fraction FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY y0, x0 ORDER BY n DESC, idx) AS rk FROM c),
+j AS (SELECT f.y0, f.x0, f.fraction, k.idx AS major FROM f JOIN k ON f.y0 = k.y0 AND f.x0 = k.x0 WHERE k.rk = 1 AND f.fraction >= 7e-1),
+o AS (SELECT *, row_number() OVER (PARTITION BY major ORDER BY md5(CAST(y0 * 100 + x0 AS VARCHAR)), y0, x0) AS p, count(*) OVER (PARTITION BY major) AS n FROM j),
+t AS (SELECT *, CAST(ceil(round(n * 15e-2, 9)) AS INT) AS test FROM o), v AS (SELECT *, CAST(ceil(round((n - test) * (15e-2 / 85e-2), 9)) AS INT) AS val FROM t)
+SELECT y0, x0, round(fraction, 6) AS fraction, major, CASE WHEN p <= test THEN 'test' WHEN p <= test + val THEN 'val' ELSE 'train' END AS split FROM v""")
 def dataset_build(spark, sf_dir):
     h = height(spark, sf_dir)
     valid = (F.col("bits") % 10 != 0) & ~((2 * F.col("y") >= h) & (F.col("x") < 50))
     patches, _ = drivers.build_dataset(raster(spark, sf_dir).withColumn("valid", valid), h, WIDTH, 32, 8, rare=[10, 50])
-    return rounded(patches.drop("split"))
+    return rounded(patches)
 
 
 @query("unpaired_files", f"WITH {V} SELECT DISTINCT patch_id AS name, 'mask' AS side FROM v WHERE patch_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'image' FROM embeddings WHERE vec_id NOT IN (SELECT patch_id FROM v)")
@@ -201,9 +204,16 @@ def unpaired_files(spark, sf_dir):
     return arrays.unpaired(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name")), masks)
 
 
-@query("jitter_bounds", f"WITH {R} SELECT y, x, true AS inside FROM r")
+def drawn(key: str) -> str:
+    """The two draws of a key, as ``normalize.even`` makes them."""
+    return ", ".join(f"CAST(concat('0x', substr(md5(concat('{k}:', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296e0 AS u{k}" for k in (1, 2))
+
+
+@query("jitter_bounds", f"""WITH {R}, d AS (SELECT *, {drawn('pixel_id')} FROM r), j AS (SELECT *, greatest(0e0, pow(price / 6e5, 8e-1 + 4e-1 * u1) * 6e5 * (9e-1 + 2e-1 * u2)) AS value FROM d)
+SELECT y, x, round(value, 3) AS value, value BETWEEN pow(price / 6e5, 12e-1) * 6e5 * 9e-1 - 1e-6 AND pow(price / 6e5, 8e-1) * 6e5 * 11e-1 + 1e-6 AS inside FROM j""")
 def jitter_bounds(spark, sf_dir):
+    """Jittered prices, and whether they lie within the widest jitter."""
     v, top = F.col("price"), F.lit(600_000.0)
-    j = normalize.jitter(v, F.col("pixel_id"), top)
     low, high = F.pow(v / top, 1.2) * top * 0.9, F.pow(v / top, 0.8) * top * 1.1
-    return raster(spark, sf_dir).select("y", "x", ((j >= F.least(low, high) - 1e-6) & (j <= F.greatest(low, high) + 1e-6)).alias("inside"))
+    r = raster(spark, sf_dir).withColumn("value", normalize.jitter(v, F.col("pixel_id"), top))
+    return r.select("y", "x", F.round("value", 3).alias("value"), F.col("value").between(low - 1e-6, high + 1e-6).alias("inside"))
