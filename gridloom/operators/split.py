@@ -70,3 +70,11 @@ def report(df: DataFrame, cls: str = "cls") -> DataFrame:
     """(cls, train, val, test) counts."""
     p = df.groupBy(F.col(cls).alias("cls")).pivot("split", ["train", "val", "test"]).count()
     return p.select("cls", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("train", "val", "test")])
+
+
+def recombine(parts: list[DataFrame]) -> DataFrame:
+    """Splits put together again, without the split's name; columns are met by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("split")

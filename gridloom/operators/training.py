@@ -78,3 +78,24 @@ def results(log: DataFrame, run: str = "run", epoch: str = "epoch", metric: str
     top = F.max(F.struct(F.col(metric), (-F.col(epoch)).alias("e")))
     g = log.groupBy(run).agg(F.count("*").alias("epochs"), top.alias("t"))
     return g.select(run, "epochs", F.col(f"t.{metric}").alias("best"), (-F.col("t.e")).cast("int").alias("best_epoch"))
+
+
+#: Keys of a configuration that may be absent, with their defaults.
+OPTIONAL = {"min_lr": 1e-6, "factor": 0.1, "patience": 5.0}
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """(name, learning_rate, encoder, scheduler, min_lr, factor, patience) of JSON files: one object a line.
+
+    Absent optional keys get :data:`OPTIONAL`; lines that aren't objects and those
+    without a name are left out.
+    """
+    kinds = "name string, learning_rate double, encoder string, scheduler string, " + ", ".join(f"{k} double" for k in OPTIONAL)
+    c = spark.read.schema(kinds).json(path).filter("name is not null")
+    return c.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in OPTIONAL.items()})
+
+
+def encoders(spark: SparkSession, known: dict[str, tuple[int, ...]]) -> DataFrame:
+    """(encoder, stages, channels) of a registry: the channels of each stage, and of the last."""
+    rows = F.array(*[F.struct(F.lit(k).alias("encoder"), F.array(*map(F.lit, v)).alias("stages")) for k, v in known.items()])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*").withColumn("channels", F.element_at("stages", -1))

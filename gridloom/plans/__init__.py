@@ -1,3 +1,3 @@
 """Named queries over the operators, their fixtures and their SQL equivalents."""
 
-from . import bands, classes, derived, files, geo, patches, rasters, registry, scene, training  # noqa: F401
+from . import bands, classes, derived, extend, files, geo, patches, rasters, registry, scene, training  # noqa: F401
