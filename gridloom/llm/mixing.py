@@ -97,7 +97,8 @@ def entropy_rates(
     targets are met exactly; groups are drawn to their shares, and a multiplier
     m costs ``ridge * shares[k] * m * m / 2``, which keeps every case solvable.  A
     target of 0 gives rate 0, one of ``cap`` times the source rate ``cap``.
-    Raises where the gradient does not come below ``tolerance`` of all tokens.
+    Raises where the gradient does not come below ``tolerance`` of all tokens, or a
+    source's tokens miss its target by more than a millionth.
     """
     import numpy as np
 
@@ -148,7 +149,12 @@ def entropy_rates(
             step /= 2
     else:
         raise ArithmeticError(f"the dual has not converged: {np.abs(grad).max() / whole:g} of all tokens are off")
-    return rated(mu).select("source", "x", F.explode("cells").alias("c")).select("source", F.col("c.k").alias("k"), rate.alias("rate"))
+    solved = rated(mu).select("source", "x", "target", F.explode("cells").alias("c"))
+    met = solved.filter((F.col("x") > float("-inf")) & (F.col("x") < float("inf"))).groupBy("source", "target").agg(F.sum(F.col("c.s") * rate).alias("t"))
+    worst = met.agg(F.max(F.abs(F.col("t") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))).first()[0] or 0.0
+    if worst > 1e-6:
+        raise ArithmeticError(f"a source's multiplier has not converged: its tokens miss the target by {worst:g} of it")
+    return solved.select("source", F.col("c.k").alias("k"), rate.alias("rate"))
 
 
 def _position(rate, h):
@@ -194,17 +200,17 @@ def mix(
     weights=(5, 2, 1),
     share: float = 1.5,
     cap: int = 2,
-    groups: int = 64,
+    most_groups: int = 1000,
     ridge: float = 0.1,
-    corrections: int = 3,
 ) -> DataFrame:
     """``docs`` with size, source_size, target and copies (working columns, prefixed): one row per row.
 
     Use :func:`planned` for plain names.  Null and empty texts have size 0 and copies by their
-    rate; a null source is a source (last in order), a null group a group; groups
-    beyond the ``groups`` largest count as one.  Rows of equal id, text and
-    source are dealt alike.  Copies are 0 to ``cap``; the result depends on the
-    rows alone, not on partitions.
+    rate; a null source is a source (last in order), a null group a group.  Every
+    group has a multiplier of its own; more than ``most_groups`` of them (their
+    Hessian is solved on the driver) raise, none is left out or joined.  Rows of
+    equal id, text and source are dealt alike.  Copies are 0 to ``cap``; the result
+    depends on the rows alone, not on partitions.
     """
     text = F.col(text_col).cast("string")
     group = F.col(group_col) if group_col else F.lit(None)
@@ -222,9 +228,13 @@ def mix(
     )
     words = F.sum(F.col("size") * F.col("n"))
     targets = materialise(source_targets(thin.groupBy("source").agg(words.alias("size")), weights=weights, share=share, cap=float(cap)))
-    totals = thin.groupBy("g").agg(words.alias("s")).orderBy(F.desc("s"), "g").limit(groups - 1).collect()
+    totals = thin.groupBy("g").agg(words.alias("s")).orderBy(F.desc("s"), "g").limit(most_groups + 1).collect()
+    if len(totals) > most_groups:
+        raise ValueError(f"{group_col} has more than {most_groups} values; mix by a coarser column or by none")
     names = [r["g"] for r in totals]
-    index = F.coalesce(*[F.when(F.col("g").eqNullSafe(F.lit(v)), F.lit(k)) for k, v in enumerate(names)], F.lit(len(names)))
+    known = F.create_map(*[F.lit(x) for k, v in enumerate(names) if v is not None for x in (v, k)]) if any(v is not None for v in names) else None
+    none = F.lit(names.index(None) if None in names else len(names))
+    index = F.coalesce(known[F.col("g")], none) if known is not None else none
     sums = materialise(thin.groupBy("source", index.alias("k")).agg(words.alias("s")))
     by_group = {r["k"]: float(r["s"] or 0) for r in sums.groupBy("k").agg(F.sum("s").alias("s")).collect()}
     size, goal = sum(by_group.values()), targets.agg(F.sum("target")).first()[0] or 0.0
@@ -249,7 +259,7 @@ def mix(
         "copies", F.col("whole") + F.when((F.col("whole") < cap) & (F.col("q") < F.coalesce("cut", F.lit(ONE))), 1).otherwise(0)
     )
     taken = materialise(taken.select("source", "target", "h", "w", "copies"))
-    flips = _flips(taken, cap, corrections)
+    flips = _flips(taken, cap)
     discard(thin, dealt, need, sums, targets)
     placed = (
         seen.withColumn("g", F.col(f"{OWN}group"))
@@ -266,10 +276,14 @@ def mix(
     )
 
 
-def _flips(taken: DataFrame, cap: int, corrections: int) -> DataFrame:
-    """(f_source, f_h, f_d): a few thin rows per source whose copies move by one, chosen to close its gap."""
+def _flips(taken: DataFrame, cap: int) -> DataFrame:
+    """(f_source, f_h, f_d): a few thin rows per source whose copies move by one, chosen to close its gap.
+
+    Every round moves the row whose size is nearest to what is left, and there
+    are rounds until no row brings any source nearer; gaps shrink in each.
+    """
     flips = None
-    for _ in range(corrections):
+    while True:
         if flips is None:
             now = taken
         else:
