@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import fold_edge, overlap_of, radial_weight, soft_weight
@@ -273,3 +275,15 @@ def geometry_coverage(spark, sf_dir):
     box = [left, bottom, left + 1 + F.col("c_nationkey") % 3, bottom + 1 + F.col("c_custkey") % 2]
     boxes = c.select(*[v.cast("double").alias(n) for v, n in zip(box, ("left", "bottom", "right", "top"))])
     return geometry.coverage(boxes, (0, 0, 80, 90)).withColumn("share", F.round("share", 6))
+
+
+@query("polygon_coverage", """WITH k AS (SELECT DISTINCT c_custkey % 97 AS x, c_custkey % 89 AS y FROM customer WHERE c_acctbal < 5e3),
+g AS (SELECT i, j, EXISTS (SELECT 1 FROM k WHERE x = i AND y = j) AS a, EXISTS (SELECT 1 FROM k WHERE x = i + 1 AND y = j) AS b, EXISTS (SELECT 1 FROM k WHERE x = i AND y = j + 1) AS c, EXISTS (SELECT 1 FROM k WHERE x = i + 1 AND y = j + 1) AS d FROM range(2, 82) t(i), range(3, 73) u(j)),
+s AS (SELECT sum(CAST(a OR b AS INT) + CAST(c OR d AS INT) + CAST(a OR c AS INT) + CAST(b OR d AS INT)) / 4e0 AS covered FROM g)
+SELECT 5600e0 AS area, round(covered, 6) AS covered, round(5600 - covered, 6) AS missing, round(100 * covered / 5600, 6) AS share FROM s""")
+def polygon_coverage(spark, sf_dir):
+    """Squares on their corners around places of customers; how much of a field they cover, overlaps counted once."""
+    c = table(spark, sf_dir, "customer").filter("c_acctbal < 5e3")
+    side = F.lit(2**0.5)
+    ring = geometry.turned_box((F.col("c_custkey") % 97).cast("double"), (F.col("c_custkey") % 89).cast("double"), side, side, F.lit(math.pi / 4))
+    return rounded(geometry.polygon_coverage(c.select(ring.alias("ring")), [(2, 3), (82, 3), (82, 73), (2, 73)]))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from gridloom.operators import augment, estimators, patch_index, training
+from gridloom.operators import augment, blend, estimators, patch_index, training
 from gridloom.sources.storage import scratch
 
 from .classes import rounded
-from .fixtures import R, V, event_classes, patch_labels, raster, table
+from .fixtures import R, V, WIDTH, event_classes, height, patch_labels, raster, table
 from .registry import query
 
 _BANDED = "e AS (SELECT vec_id, CAST(unnest(range(0, 64)) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE len(embedding) = 64), f AS (SELECT *, concat('b', pos % 4) AS band FROM e)"
@@ -145,3 +145,26 @@ def learning_rate_schedules(spark, sf_dir):
     epochs = runs.select("run", (F.col("_r") - 1).cast("int").alias("epoch"))
     s = training.schedules(spark, 40, 1e-3).select("epoch", F.round("cosine", 12).alias("cosine"), F.round("step_lr", 12).alias("step_lr"))
     return epochs.join(F.broadcast(s), "epoch").select("run", "epoch", "cosine", "step_lr")
+
+
+#: Objects: the pixels of class 50 in squares of 20 pixels in the middle of R, moved 3 down and 25 to the right.
+_OBJECTS = "o AS (SELECT y // 20 AS object, y + 3 AS y, x + 25 AS x, price AS value, cls FROM r, h WHERE cls = 50 AND y % 20 < 10 AND x BETWEEN 40 AND 59 AND y + 3 < h.h)"
+
+
+def _pasted(spark, sf_dir, mode):
+    r, h = raster(spark, sf_dir), height(spark, sf_dir)
+    o = r.filter("cls = 50 AND y % 20 < 10 AND x BETWEEN 40 AND 59").select(F.expr("y div 20").alias("object"), "y", "x", F.col("price").alias("value"), "cls")
+    return blend.paste(r.select("y", "x", F.col("price").alias("value"), "cls"), blend.moved(o, 3, 25, h, WIDTH), mode=mode)
+
+
+@query("paste_feathered", f"""WITH {R}, {_OBJECTS}, g AS (SELECT i AS d, exp(-5e-1 * pow(i / 15e-1, 2)) / (SELECT sum(exp(-5e-1 * pow(k / 15e-1, 2))) FROM range(-5, 6) s(k)) AS w FROM range(-5, 6) t(i)),
+a AS (SELECT p.y, p.x, p.value, p.cls, sum(gy.w * gx.w) AS w FROM o p JOIN o q ON q.object = p.object JOIN g gy ON gy.d = q.y - p.y JOIN g gx ON gx.d = q.x - p.x GROUP BY ALL)
+SELECT r.y, r.x, round(CASE WHEN a.w IS NULL THEN r.price ELSE a.w * a.value + (1 - a.w) * r.price END, 3) AS value, coalesce(a.cls, r.cls) AS cls FROM r LEFT JOIN a ON a.y = r.y AND a.x = r.x""")
+def paste_feathered(spark, sf_dir):
+    return _pasted(spark, sf_dir, "feather").withColumn("value", F.round("value", 3))
+
+
+@query("paste_gradients", None)
+def paste_gradients(spark, sf_dir):
+    """The same objects with their own gradients; held to a dense solver by test."""
+    return _pasted(spark, sf_dir, "poisson")
