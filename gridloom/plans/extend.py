@@ -86,12 +86,12 @@ q AS (SELECT *, CASE turns WHEN 0 THEN y1 WHEN 1 THEN x1 WHEN 2 THEN -y1 ELSE -x
 a AS (SELECT *, CASE WHEN vflip THEN -y2 ELSE y2 END + 35e-1 AS r, CASE WHEN hflip THEN -x2 ELSE x2 END + 35e-1 AS c FROM q),
 b AS (SELECT a.vec_id, a.ty, a.tx, sum((1 - abs(a.r - floor(a.r) - i.d)) * (1 - abs(a.c - floor(a.c) - j.d)) * p.v) AS v, any_value(CASE WHEN toned THEN gain ELSE 1 END) AS gain, any_value(CASE WHEN toned THEN lift ELSE 0 END) AS lift
  FROM a, (VALUES (0), (1)) i(d), (VALUES (0), (1)) j(d), p WHERE {_TAKEN} GROUP BY ALL)
-SELECT vec_id, CAST(ty * 8 + tx AS INT) AS pos, round(v * gain + lift, 5) AS value FROM b""")
+SELECT vec_id, CAST(ty * 8 + tx AS INT) AS pos, round(v * gain + lift, 5) + 0e0 AS value FROM b""")
 def augment_patches(spark, sf_dir):
     """The vectors as patches of 8 x 8 with the places above 0 as their mask; values after one augmentation."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.array("embedding").alias("bands"), F.transform("embedding", lambda v: (v > 0).cast("int")).alias("mask"))
     a = augment.augment(e, 8, "vec_id")
-    return a.select("vec_id", F.posexplode(F.col("bands")[0]).alias("pos", "value")).withColumn("value", F.round("value", 5))
+    return a.select("vec_id", F.posexplode(F.col("bands")[0]).alias("pos", "value")).withColumn("value", F.round("value", 5) + 0.0)  # no negative zero
 
 
 # Channels of the stages of the encoders that a configuration may name.
