@@ -60,12 +60,14 @@ def receptive_field(layers: DataFrame, model: str = "model", order: str = "pos")
     """(model, rf, effective): rf grows by (kernel - 1) * jump, jump by stride, over (model, pos, kernel, stride).
 
     Strides below 1 stand for upsampling.  effective: two thirds of rf, rounded down.
+    Both are doubles, as rf doubles with every stride of 2 and outgrows any integer type.
     """
     s = F.sort_array(F.collect_list(F.struct(order, "kernel", "stride")))
     start = F.struct(F.lit(1e0).alias("rf"), F.lit(1e0).alias("jump"))
     step = lambda a, l: F.struct((a["rf"] + (l["kernel"] - 1) * a["jump"]).alias("rf"), (a["jump"] * l["stride"]).alias("jump"))
     r = layers.groupBy(model).agg(F.aggregate(s, start, step)["rf"].alias("rf"))  # a row a layer of a model
-    return r.select(model, F.col("rf").cast("int").alias("rf"), F.floor(F.col("rf") * 2 / 3).cast("int").alias("effective"))
+    part = F.col("rf") * 2 / 3
+    return r.select(model, "rf", F.when(part < 2.0**53, F.floor(part).cast("double")).otherwise(part).alias("effective"))  # larger ones are whole
 
 
 def receptive_field_simple(layers: DataFrame, model: str = "model") -> DataFrame:

@@ -148,7 +148,9 @@ def _layers(spark, sf_dir):
 @query("receptive_field", f"""WITH {_LAYERS}, j AS (SELECT *, pow(2, count_if(stride = 2) OVER (PARTITION BY model ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS jump FROM l)
 SELECT model, CAST(1 + sum((kernel - 1) * coalesce(jump, 1)) AS INT) AS rf, CAST(floor((1 + sum((kernel - 1) * coalesce(jump, 1))) * 2 / 3) AS INT) AS effective FROM j GROUP BY model""")
 def receptive_field(spark, sf_dir):
-    return training.receptive_field(_layers(spark, sf_dir))
+    """As integers; null for a model whose field no INT holds."""
+    f = training.receptive_field(_layers(spark, sf_dir))
+    return f.select("model", *[F.col(c).try_cast("int").alias(c) for c in ("rf", "effective")])
 
 
 @query("receptive_field_simple", f"WITH {_LAYERS} SELECT model, CAST(1 + sum((kernel - 1) * stride) AS INT) AS rf FROM l GROUP BY model")
