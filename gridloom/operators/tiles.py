@@ -9,43 +9,42 @@ from gridloom.functions.expr import clip, overlap_of, patch_name, stable_order
 from gridloom.operators.split import ranked
 
 
-def _grid(spark: SparkSession, ys: Column, xs: Column) -> DataFrame:
-    g = spark.range(1).select(F.explode(ys).alias("y0")).select("y0", F.explode(xs).alias("x0"))
-    return g.select(F.col("y0").cast("int"), F.col("x0").cast("int"))
-
-
-def _starts(n: int, stride: int, last: int | None) -> Column:
-    s = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.transform(s, lambda i: i * stride if last is None else F.least(i * stride, F.lit(last)))
+def _grid(spark: SparkSession, ys: tuple, xs: tuple) -> DataFrame:
+    """(y0, x0) of two axes, each (number, stride, last start or None): rows of a range, so Spark deals them out and knows how many there are."""
+    at = lambda k, axis: (k * axis[1] if axis[2] is None else F.least(k * axis[1], F.lit(axis[2]))).cast("int")
+    across = max(xs[0], 1)
+    g = spark.range(ys[0] * xs[0])
+    return g.select(at(F.floor(F.col("id") / across), ys).alias("y0"), at(F.col("id") % across, xs).alias("x0"))
 
 
 def grid_floor(spark: SparkSession, height: int, width: int, size: int, overlap: int) -> DataFrame:
     """(y0, x0): full patches alone; what a last stride doesn't fill stays uncovered."""
     s = size - overlap
     n = lambda a: max((a - size) // s + 1, 0)
-    if not n(height) or not n(width):
-        return _grid(spark, F.array(F.lit(0)), F.array(F.lit(0))).limit(0)
-    return _grid(spark, _starts(n(height), s, None), _starts(n(width), s, None))
+    return _grid(spark, (n(height), s, None), (n(width), s, None))
 
 
 def grid_clamp(spark: SparkSession, height: int, width: int, size: int, overlap: int) -> DataFrame:
     """(y0, x0): as many strides as cover everything, the last moved back inside."""
     s = size - overlap
     n = lambda a: max(-(-(a - size) // s), 0) + 1
-    return _grid(spark, _starts(n(height), s, max(height - size, 0)), _starts(n(width), s, max(width - size, 0))).distinct()
+    return _grid(spark, (n(height), s, max(height - size, 0)), (n(width), s, max(width - size, 0))).distinct()
+
+
+def _padded(n: int, size: int, overlap: int) -> int:
+    """Number of padded windows along an axis of n pixels."""
+    return max(-(-(n - 2 * overlap) // (size - 2 * overlap)), 1)
 
 
 def grid_padded(spark: SparkSession, height: int, width: int, size: int, overlap: int) -> DataFrame:
     """(y0, x0) of a reflect-padded image: stride size - 2 * overlap, as many as cover the inner part."""
     s = size - 2 * overlap
-    n = lambda a: max(-(-(a - 2 * overlap) // s), 1)
-    return _grid(spark, _starts(n(height), s, None), _starts(n(width), s, None))
+    return _grid(spark, (_padded(height, size, overlap), s, None), (_padded(width, size, overlap), s, None))
 
 
 def chunk_grid(spark: SparkSession, height: int, width: int, chunk: int, halo: int) -> DataFrame:
     """Chunks with the rows they read (y0, y1, x0, x1) and the inner part they own (vy0, ...); together the inner parts tile the image."""
-    cut = lambda n: F.transform(F.sequence(F.lit(0), F.lit(-(-n // chunk) - 1)), lambda i: i * chunk)
-    g = _grid(spark, cut(height), cut(width)).withColumnsRenamed({"y0": "vy0", "x0": "vx0"})
+    g = _grid(spark, (-(-height // chunk), chunk, None), (-(-width // chunk), chunk, None)).withColumnsRenamed({"y0": "vy0", "x0": "vx0"})
     vy1, vx1 = F.least(F.col("vy0") + chunk, F.lit(height)), F.least(F.col("vx0") + chunk, F.lit(width))
     return g.select(
         F.greatest(F.col("vy0") - halo, F.lit(0)).alias("y0"),
@@ -59,6 +58,19 @@ def chunk_grid(spark: SparkSession, height: int, width: int, chunk: int, halo: i
     )
 
 
+def in_chunks(pixels: DataFrame, chunks: DataFrame, chunk: int, halo: int) -> DataFrame:
+    """Each pixel once for every chunk of :func:`chunk_grid` that reads it: adds the chunk's columns and own, whether the chunk owns it.
+
+    The chunks that may read a pixel follow by arithmetic and meet the grid by
+    their corner, so neither side is spread out over the cells of a chunk.
+    """
+    at = lambda v: F.explode(F.sequence(F.floor((F.col(v) - halo) / chunk).cast("int"), F.floor((F.col(v) + halo) / chunk).cast("int")))
+    e = pixels.select("*", at("y").alias("_ky")).select("*", at("x").alias("_kx"))
+    e = e.withColumns({"vy0": F.col("_ky") * chunk, "vx0": F.col("_kx") * chunk}).drop("_ky", "_kx").join(chunks, ["vy0", "vx0"])
+    own = (F.col("y") >= F.col("vy0")) & (F.col("y") < F.col("vy1")) & (F.col("x") >= F.col("vx0")) & (F.col("x") < F.col("vx1"))
+    return e.withColumn("own", own)
+
+
 def cover(pixels: DataFrame, height: int, width: int, size: int, overlap: int, clamp: bool = True) -> DataFrame:
     """Each pixel once for every patch that holds it: adds y0, x0, dy, dx.
 

@@ -213,10 +213,8 @@ SELECT CAST(vy0 AS INT) AS vy0, CAST(vx0 AS INT) AS vx0, count(*) AS n, count_if
 def chunk_grid(spark, sf_dir):
     """Chunks of R with the pixels that they read and those that they own."""
     g = tiles.chunk_grid(spark, height(spark, sf_dir), WIDTH, 40, 5)
-    at = lambda n: F.explode(F.sequence(F.col(f"{n}0"), F.col(f"{n}1") - 1)).alias(n)
-    cells = g.select("*", at("y")).select("*", at("x"))
-    own = (F.col("y") >= F.col("vy0")) & (F.col("y") < F.col("vy1")) & (F.col("x") >= F.col("vx0")) & (F.col("x") < F.col("vx1"))
-    return cells.join(raster(spark, sf_dir).select("y", "x"), ["y", "x"]).groupBy("vy0", "vx0").agg(F.count("*").alias("n"), F.count_if(own).alias("own"))
+    held = tiles.in_chunks(raster(spark, sf_dir).select("y", "x"), g, 40, 5)
+    return held.groupBy("vy0", "vx0").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
 
 
 _PLACED = "p AS (SELECT vec_id, CAST(unnest(range(0, 64)) // 8 AS INT) AS dy, CAST(unnest(range(0, 64)) % 8 AS INT) AS dx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE len(embedding) = 64)"

@@ -30,3 +30,24 @@ def test_deep_models_keep_their_row(spark, tmp_path):
     rf = {r["model"]: (r["rf"], r["effective"]) for r in training.receptive_field(layers).collect()}
     deep = 1 + 2 * (2**40 - 1)
     assert rf == {"deep": (deep, deep * 2 // 3), "flat": (5, 3)}
+
+
+def test_grids_know_their_size(spark):
+    """A grid is as large to Spark as it is, so its joins are not broadcast by a guess."""
+    from gridloom.operators import tiles
+
+    size = lambda d: int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    for make, args in ((tiles.grid_floor, (32, 8)), (tiles.grid_clamp, (32, 8)), (tiles.grid_padded, (32, 8)), (tiles.chunk_grid, (40, 5))):
+        grid = make(spark, 3_000_000, 100, *args)
+        assert size(grid) >= 8 * grid.count() > 10**6
+
+
+@pytest.mark.parametrize("height, width, chunk, halo", [(9, 7, 4, 1), (5, 11, 3, 5), (1, 1, 4, 2), (8, 8, 4, 0)])
+def test_pixels_of_chunks(spark, height, width, chunk, halo):
+    from gridloom.operators import tiles
+
+    pixels = spark.createDataFrame([(y, x) for y in range(height) for x in range(width)], "y int, x int")
+    chunks = tiles.chunk_grid(spark, height, width, chunk, halo)
+    got = sorted((r["vy0"], r["vx0"], r["y"], r["x"], r["own"]) for r in tiles.in_chunks(pixels, chunks, chunk, halo).collect())
+    want = sorted((c["vy0"], c["vx0"], y, x, c["vy0"] <= y < c["vy1"] and c["vx0"] <= x < c["vx1"]) for c in chunks.collect() for y in range(c["y0"], c["y1"]) for x in range(c["x0"], c["x1"]))
+    assert got == want
