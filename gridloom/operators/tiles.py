@@ -42,6 +42,28 @@ def grid_padded(spark: SparkSession, height: int, width: int, size: int, overlap
     return _grid(spark, (_padded(height, size, overlap), s, None), (_padded(width, size, overlap), s, None))
 
 
+def in_padded(pixels: DataFrame, height: int, width: int, size: int, overlap: int) -> DataFrame:
+    """Each pixel once for every place that it or its mirror image takes in a window of :func:`grid_padded`: adds y0, x0, dy, dx.
+
+    A pixel shows at its own place and behind both edges (one bounce, the edge
+    repeated); windows follow from a place by arithmetic, so nothing is joined.
+    """
+    s = size - 2 * overlap
+
+    def places(v: Column, n: int) -> Column:
+        def windows(p: Column) -> Column:
+            lo = F.greatest(F.lit(0), F.ceil((p + overlap - size + 1) / s)).cast("int")
+            hi = F.least(F.lit(_padded(n, size, overlap) - 1), F.floor((p + overlap) / s)).cast("int")
+            ks = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+            return F.transform(ks, lambda k: F.struct((k * s).alias("at"), (p + overlap - k * s).alias("d")))
+
+        return F.concat(*[windows(p) for p in (v, -v - 1, 2 * n - 1 - v)])
+
+    e = pixels.select("*", F.explode(places(F.col("y"), height)).alias("_py")).select("*", F.explode(places(F.col("x"), width)).alias("_px"))
+    at = {"y0": F.col("_py.at"), "x0": F.col("_px.at"), "dy": F.col("_py.d"), "dx": F.col("_px.d")}
+    return e.withColumns(at).drop("_py", "_px")
+
+
 def chunk_grid(spark: SparkSession, height: int, width: int, chunk: int, halo: int) -> DataFrame:
     """Chunks with the rows they read (y0, y1, x0, x1) and the inner part they own (vy0, ...); together the inner parts tile the image."""
     g = _grid(spark, (-(-height // chunk), chunk, None), (-(-width // chunk), chunk, None)).withColumnsRenamed({"y0": "vy0", "x0": "vx0"})

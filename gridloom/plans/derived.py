@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.expr import fold_edge, overlap_of, radial_weight, soft_weight
+from gridloom.functions.expr import overlap_of, radial_weight, soft_weight
 from gridloom.operators import drivers, geometry, normalize, tiles, training
 from gridloom.operators import raster as ops
 from gridloom.sources import mappings, scenes
@@ -201,10 +201,9 @@ SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, count(*) AS n, CAST(sum(cls
 def patch_grid_padded(spark, sf_dir):
     """Windows of R padded by 8 on every side with its mirror image, with what they hold."""
     h = height(spark, sf_dir)
-    side = F.sequence(F.lit(0), F.lit(31))
-    w = tiles.grid_padded(spark, h, WIDTH, 32, 8).select("y0", "x0", F.explode(side).alias("dy")).select("*", F.explode(side).alias("dx"))
-    w = w.select("y0", "x0", fold_edge(F.col("y0") + F.col("dy") - 8, h).alias("y"), fold_edge(F.col("x0") + F.col("dx") - 8, WIDTH).alias("x"))
-    return w.join(raster(spark, sf_dir).select("y", "x", "cls"), ["y", "x"]).groupBy("y0", "x0").agg(F.count("*").alias("n"), F.sum("cls").alias("classes"))
+    held = tiles.in_padded(raster(spark, sf_dir).select("y", "x", "cls"), h, WIDTH, 32, 8)
+    held = held.groupBy("y0", "x0").agg(F.count("*").alias("n"), F.sum("cls").alias("classes"))
+    return tiles.grid_padded(spark, h, WIDTH, 32, 8).join(held, ["y0", "x0"])
 
 
 @query("chunk_grid", f"""WITH {R}, g AS (SELECT a.i * 40 AS vy0, least(a.i * 40 + 40, h.h) AS vy1, b.i * 40 AS vx0, least(b.i * 40 + 40, 100) AS vx1, h.h FROM h, range(0, 10000) a(i), range(0, 3) b(i) WHERE a.i * 40 < h.h),

@@ -51,3 +51,16 @@ def test_pixels_of_chunks(spark, height, width, chunk, halo):
     got = sorted((r["vy0"], r["vx0"], r["y"], r["x"], r["own"]) for r in tiles.in_chunks(pixels, chunks, chunk, halo).collect())
     want = sorted((c["vy0"], c["vx0"], y, x, c["vy0"] <= y < c["vy1"] and c["vx0"] <= x < c["vx1"]) for c in chunks.collect() for y in range(c["y0"], c["y1"]) for x in range(c["x0"], c["x1"]))
     assert got == want
+
+
+@pytest.mark.parametrize("height, width, size, overlap", [(40, 35, 12, 3), (3, 50, 12, 3), (9, 9, 8, 2), (1, 1, 8, 3)])
+def test_mirrored_places_of_padded_windows(spark, height, width, size, overlap):
+    from gridloom.operators import tiles
+
+    fold = lambda i, n: -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
+    pixels = spark.createDataFrame([(y, x) for y in range(height) for x in range(width)], "y int, x int")
+    windows = [(r["y0"], r["x0"]) for r in tiles.grid_padded(spark, height, width, size, overlap).collect()]
+    places = [(y0, x0, dy, dx, fold(y0 + dy - overlap, height), fold(x0 + dx - overlap, width)) for y0, x0 in windows for dy in range(size) for dx in range(size)]
+    want = sorted(p for p in places if 0 <= p[4] < height and 0 <= p[5] < width)
+    got = sorted((r["y0"], r["x0"], r["dy"], r["dx"], r["y"], r["x"]) for r in tiles.in_padded(pixels, height, width, size, overlap).collect())
+    assert got == want
