@@ -63,16 +63,20 @@ def _tiffs(spark: SparkSession, path: str) -> list[Layer]:
     for r in tiff.read_tiff_meta(spark, path).orderBy("path").collect():  # a row a file
         folder = r["path"].rsplit("/", 1)[0]
         named = _named(r["path"], r["bands"])
-        groups.setdefault((folder, named, r["crs"], r["dx"], r["dy"]), []).append(r)
+        groups.setdefault((folder, named, r["crs"], r["dx"], r["dy"], r["raster"]), []).append(r)
     folders = [k[0] for k in groups]
     out = []
     for (folder, named, *_), rows in groups.items():
-        one = rows[0]
+        one, whole = rows[0], rows[0]["raster"]
+        if len(rows) > 1 and folders.count(folder) > 1:
+            raise ValueError(f"{folder} mixes rasters of several files")
+        at = one["path"] if len(rows) == 1 else folder
+        if whole:  # pixels have its numbers, and of its files those without a pixel are not there
+            out.append(Layer(at, "tiff", named, Grid(whole["height"], whole["width"], one["crs"], whole["x0"], whole["y0"], one["dx"], one["dy"]), one["nodata"]))
+            continue
         if len(rows) == 1:
-            out.append(Layer(one["path"], "tiff", named, Grid(*[one[c] for c in ("height", "width", "crs", "x0", "y0", "dx", "dy")]), one["nodata"]))
+            out.append(Layer(at, "tiff", named, Grid(*[one[c] for c in ("height", "width", "crs", "x0", "y0", "dx", "dy")]), one["nodata"]))
             continue
-        if folders.count(folder) > 1:
-            raise ValueError(f"{folder} mixes rasters of several files")
         x0, y0 = (min(rows, key=lambda r: r[c] * (1 if r[d] > 0 else -1))[c] for c, d in (("x0", "dx"), ("y0", "dy")))
         size = [max(round((r[c] - o) / r[d]) + r[n] for r in rows) for c, o, d, n in (("y0", y0, "dy", "height"), ("x0", x0, "dx", "width"))]
         out.append(Layer(folder, "tiff", named, Grid(*size, one["crs"], x0, y0, one["dx"], one["dy"]), one["nodata"]))

@@ -251,6 +251,8 @@ def align_file(spark, path: str, reference: DataFrame, out: str, *, method: str
 def raster_grid(metas: DataFrame):
     """(grid, row of the first file) of the files that ``tiff.write_tiff`` cut out of one raster."""
     one = metas.orderBy(F.col("y0") * F.signum("dy"), F.col("x0") * F.signum("dx")).first()
+    if one["raster"]:
+        return Grid(one["raster"]["height"], one["raster"]["width"], one["crs"], one["raster"]["x0"], one["raster"]["y0"], one["dx"], one["dy"]), one
     far = lambda o, d, n, a: F.max(F.round((F.col(o) - a) / F.col(d)) + F.col(n)).cast("int").alias(n)
     size = metas.agg(far("y0", "dy", "height", one["y0"]), far("x0", "dx", "width", one["x0"])).first()
     return Grid(size["height"], size["width"], *[one[c] for c in ("crs", "x0", "y0", "dx", "dy")]), one

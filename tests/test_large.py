@@ -67,7 +67,9 @@ def test_mirrored_places_of_padded_windows(spark, height, width, size, overlap):
 
 
 def test_a_raster_of_several_files_is_one(spark, tmp_path):
-    """Described as a whole, also where its first and last files hold no pixel."""
+    """Described, opened and ingested as a whole, also where its first and last files hold no pixel."""
+    from gridloom.operators import runs, warp
+    from gridloom.operators.warp import Grid
     from gridloom.sources import blocks, tiff
 
     path, meta = str(tmp_path / "r"), blocks.metadata(spark, 100, 20, nodata=-1.0, origin=(5e5, 42e5), tags={"classes": "a,b"})
@@ -76,3 +78,10 @@ def test_a_raster_of_several_files_is_one(spark, tmp_path):
     assert tiff.read_tiff_meta(spark, path).count() == 6
     d = tiff.describe_tiff(spark, path, "cls").collect()
     assert [tuple(r) for r in d] == [(path, 100, 20, "EPSG:32634", -1.0, 5e5, 42e5 - 1000, 5e5 + 200, 42e5, ["a", "b"], [3, 4, 5, 6])]
+    grid = Grid(100, 20, "EPSG:32634", 5e5, 42e5, 10.0, -10.0)
+    (layer,) = runs.layers(spark, path)
+    assert layer.grid == grid == warp.raster_grid(tiff.read_tiff_meta(spark, path))[0]
+    got = {(r["y"], r["x"]): r["value"] for r in runs.on_grid(spark, [layer], grid).filter("value is not null").collect()}
+    assert got == {(y, x): v for _, y, x, v in data}
+    (one,) = runs.layers(spark, tiff.read_tiff_meta(spark, path).orderBy("path").first()["path"])
+    assert one.grid == grid
