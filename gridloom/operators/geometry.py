@@ -107,7 +107,9 @@ def polygon_coverage(polygons: DataFrame, target: list[tuple[float, float]], per
 
     Rings are simple polygons, closed by themselves, of any turn.  They are dealt
     to the cells of a grid over the target that their boxes meet, some ``per_cell``
-    to a cell, and every cell is swept by itself.  Null rings and those of fewer
+    to a cell, and every cell is swept by itself.  Equal rings count once, and cells
+    are no smaller than the rings' boxes on average, so no ring is in more than a few
+    of them for its size.  Null rings and those of fewer
     than three corners cover nothing; a target without area has share null.
     """
     import pyarrow as pa
@@ -116,11 +118,13 @@ def polygon_coverage(polygons: DataFrame, target: list[tuple[float, float]], per
     ship(spark)
     xs, ys = [float(x) for x, _ in target], [float(y) for _, y in target]
     left, right, bottom, top = min(xs), max(xs), min(ys), max(ys)
-    p = polygons.select(F.col("ring").cast(RING).alias("ring")).filter(F.size("ring") >= 3)
+    p = polygons.select(F.col("ring").cast(RING).alias("ring")).filter(F.size("ring") >= 3).distinct()
     end = lambda f, c: f(F.transform("ring", lambda q: q[c]))
     p = p.select("ring", end(F.array_min, "x").alias("a"), end(F.array_max, "x").alias("b"), end(F.array_min, "y").alias("c"), end(F.array_max, "y").alias("d"))
     p = p.filter((F.col("b") > left) & (F.col("a") < right) & (F.col("d") > bottom) & (F.col("c") < top))
-    n = max(1, int((p.count() / per_cell) ** 0.5) + 1)
+    count, box_x, box_y = p.agg(F.count("*"), F.avg(F.col("b") - F.col("a")), F.avg(F.col("d") - F.col("c"))).first()
+    fit = [int(min((far - near) / box, 2**15)) for far, near, box in ((right, left, box_x), (top, bottom, box_y)) if box and box == box]
+    n = max(1, min(int((count / per_cell) ** 0.5) + 1, *fit, 2**15))
     wide, high = (right - left) / n or 1.0, (top - bottom) / n or 1.0
 
     def span(lo, hi, start, step):

@@ -85,3 +85,20 @@ def test_a_raster_of_several_files_is_one(spark, tmp_path):
     assert got == {(y, x): v for _, y, x, v in data}
     (one,) = runs.layers(spark, tiff.read_tiff_meta(spark, path).orderBy("path").first()["path"])
     assert one.grid == grid
+
+
+def test_equal_polygons_are_swept_once(spark):
+    """Copies of polygons change nothing about the cover, nor the work."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import geometry
+
+    box = spark.range(400).select(geometry.turned_box(F.col("id") % 5 * 2.0, F.floor(F.col("id") % 25 / 5) * 2.0, F.lit(1.5), F.lit(1.5), F.lit(0.5)).alias("ring"))
+    target = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    few = geometry.polygon_coverage(box.limit(25), target).first()
+    began = time.time()
+    many = geometry.polygon_coverage(spark.range(10).crossJoin(box).select("ring"), target).first()
+    assert time.time() - began < 30
+    assert [round(v, 9) for v in few] == [round(v, 9) for v in many]
