@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import drivers, metrics, scene
+from gridloom.operators import drivers, metrics, scene, scoring
 from gridloom.operators.warp import Grid, warp
 from gridloom.sources import blocks, sinks, tiff, zips
 from gridloom.sources.storage import files, scratch
@@ -167,7 +167,8 @@ def predict(
     true = layers(spark, truth)[0] if truth else None
     grid = true.grid if true else finest(found)
     order = bands or sorted({b for l in found for b in l.bands})
-    stacked = vectors(on_grid(spark, found, grid), order, scale)
+    placed = on_grid(spark, found, grid)
+    stacked = vectors(placed.repartition(scoring.parts(grid.height * grid.width * len(order), 1_000_000), "y", "x"), order, scale)
     m = drivers.predict_map(stacked, scorer, grid.height, grid.width, size, overlap, mapping=mapping, least=least)
     tiff.write_class_tiff(m, meta_of(spark, grid), f"{out}/prediction", nodata=nodata, overwrite=True)
     about = {"model": F.lit(model), "source": F.lit(source), "prediction": F.lit(f"{out}/prediction"), "bands": F.array(*[F.lit(b) for b in order]), "height": F.lit(grid.height), "width": F.lit(grid.width), "crs": F.lit(grid.crs)}

@@ -84,6 +84,11 @@ def centroid_scores(df: DataFrame, cents: DataFrame, key: str, features: str) ->
     return d.groupBy(key, "cls").agg((-F.sum(F.pow(F.col("v").cast("double") - F.col("mean"), 2))).alias("score"))
 
 
+def parts(rows: float, each: int = 400_000) -> int:
+    """Number of partitions of some ``each`` rows, so that what a task sorts or groups doesn't grow with the raster."""
+    return max(1, int(rows // each) + 1)
+
+
 def predict(
     pixels: DataFrame, scorer: Scorer, height: int, width: int, size: int, overlap: int, features: str = "features", soft: bool = False
 ) -> DataFrame:
@@ -91,11 +96,13 @@ def predict(
 
     A patch's pixels go to the scorer together, in row order (size * size of them
     at most); the patches' probabilities are merged by their radial (or ``soft``)
-    weights, and the largest wins, the smallest class of ties.
+    weights, and the largest wins, the smallest class of ties.  Patches, and pixels
+    with their probabilities, are dealt to partitions in proportion to the raster.
     """
     weight = soft_weight if soft else radial_weight
     c = tiles.cover(pixels.select("y", "x", F.col(features).cast("array<double>").alias("f")), height, width, size, overlap)
-    c = c.withColumn("w", weight(F.col("dy"), F.col("dx"), size))
+    placed = height * width * (size / (size - overlap)) ** 2
+    c = c.withColumn("w", weight(F.col("dy"), F.col("dx"), size)).repartition(parts(placed), "y0", "x0")
 
     def score(t):
         import numpy as np
@@ -108,4 +115,4 @@ def predict(
         return pa.table({"y": again("y").cast("int32"), "x": again("x").cast("int32"), "cls": pa.array(np.tile(np.arange(k, dtype="int32"), n)), "p": pa.array(p.ravel()), "w": again("w")})
 
     probs = c.groupBy("y0", "x0").applyInArrow(score, "y int, x int, cls int, p double, w double")
-    return merge.argmax(merge.weighted(probs))
+    return merge.argmax(merge.weighted(probs.repartition(parts(placed * scorer.n_classes, 1_000_000), "y", "x")))

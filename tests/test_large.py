@@ -102,3 +102,11 @@ def test_equal_polygons_are_swept_once(spark):
     many = geometry.polygon_coverage(spark.range(10).crossJoin(box).select("ring"), target).first()
     assert time.time() - began < 30
     assert [round(v, 9) for v in few] == [round(v, 9) for v in many]
+
+
+def test_prediction_is_dealt_by_the_size_of_the_raster(spark):
+    from gridloom.operators import scoring
+
+    pixels = spark.createDataFrame([(0, 0, [1.0]), (9, 9, [2.0])], "y int, x int, features array<double>")
+    dealt = [scoring.predict(pixels, scoring.NearestCentroid([[1.0], [2.0]]), h, 100, 32, 8).rdd.getNumPartitions() for h in (20_000, 200_000)]
+    assert dealt[1] >= 8 * dealt[0] > 8
