@@ -110,3 +110,17 @@ def test_prediction_is_dealt_by_the_size_of_the_raster(spark):
     pixels = spark.createDataFrame([(0, 0, [1.0]), (9, 9, [2.0])], "y int, x int, features array<double>")
     dealt = [scoring.predict(pixels, scoring.NearestCentroid([[1.0], [2.0]]), h, 100, 32, 8).rdd.getNumPartitions() for h in (20_000, 200_000)]
     assert dealt[1] >= 8 * dealt[0] > 8
+
+
+def test_frequent_words_outlive_a_full_memo():
+    from gridloom.llm import tokens
+
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        enc = tokens.WordEncoder(f.read(), 40)
+    asked, plain = [], enc._word
+    enc._word = lambda w: asked.append(w) or plain(w)
+    for k in range(200):
+        text = f"river stone w{k}x"
+        want = enc.tok.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
+    assert asked.count(b"river") == 1 and len(enc.words) <= 20
