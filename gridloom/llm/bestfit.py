@@ -75,8 +75,8 @@ def encode_pieces(
         schema = pa.schema([(n, t) for n, t in zip(ENCODED.names, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))])
         for batch in batches:
             got, held = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                blob = enc.encode(text.as_py()) + end
+            for doc_id, found in zip(batch.column(0), enc.encode_all(batch.column(1))):
+                blob = found + end
                 n = len(blob) // 4
                 full, tail = divmod(n, size)
                 crcs = [crc32(blob[k : k + size * 4]) for k in range(0, len(blob), size * 4)]

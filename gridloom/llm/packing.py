@@ -55,8 +55,8 @@ def encode_documents(
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             ids, starts, blobs, held, size = [], [], [], [], 0
-            for k, text in enumerate(batch.column(1)):
-                blob = enc.encode(text.as_py()) + end
+            for k, found in enumerate(enc.encode_all(batch.column(1))):
+                blob = found + end
                 starts.append(at)
                 blobs.append(blob)
                 held.append(len(blob) // 4)

@@ -145,8 +145,8 @@ class WaveletMatrix:
         for k in range(self.levels - 1, -1, -1):
             bits = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty(self.n, kind)
-            up[~bits] = values[: self.zeros[k]]
-            up[bits] = values[self.zeros[k] :] | kind(1 << (self.levels - 1 - k))
+            up[np.flatnonzero(~bits)] = values[: self.zeros[k]]
+            up[np.flatnonzero(bits)] = values[self.zeros[k] :] | kind(1 << (self.levels - 1 - k))
             values = up
         return values
 
@@ -167,13 +167,13 @@ def build(ids, doc_ids: list, doc_starts: list, levels: int) -> bytes:
     ]
     zeros = []
     for k in range(levels):
-        bits = (a >> (levels - 1 - k)) & 1 == 1
+        bits = a & a.dtype.type(1 << (levels - 1 - k)) != 0
         packed = np.packbits(bits)
         ones = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype="<u4") if len(bits) else np.zeros(0, "<u4")
         sections += [packed.tobytes(), np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes()]
-        left = a[~bits]
+        left = a.take(np.flatnonzero(~bits))  # places are several times faster than masks here
         zeros.append(len(left))
-        a = np.concatenate([left, a[bits]])
+        a = np.concatenate([left, a.take(np.flatnonzero(bits))])
     pack = zstandard.ZstdCompressor(level=1)
     frames = [pack.compress(s) if s else b"" for s in sections]
     head = json.dumps(
@@ -258,8 +258,8 @@ def write_shards(
 
         small = np.uint16 if levels <= 16 else np.uint32
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                got = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
+            for doc, found in zip(batch.column(0), enc.encode_all(batch.column(1))):
+                got = np.frombuffer(found + end, "<u4")
                 if int(got.max()) >> levels:
                     raise ValueError("an id needs more bit-planes")
                 got = got.astype(small)

@@ -124,3 +124,30 @@ def test_frequent_words_outlive_a_full_memo():
         want = enc.tok.encode(text, add_special_tokens=False).ids
         assert enc.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
     assert asked.count(b"river") == 1 and len(enc.words) <= 20
+
+
+def test_texts_are_encoded_together_and_pieces_looked_up_once(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from gridloom.llm import tokens
+
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        enc = tokens.WordEncoder(f.read())
+    bits = ["river", "River", "É", "straße", "ÿ!", "K", "Á", "H̱", "٣", "7", "42", "don't", "'s", "'", "...", ",", "<|"]
+    bits += ["<|endoftext|>", "|>", "\x00", "\x1f", "\xa0", " ", "漢字", "🙂", "×", "µ", "…", "`{", "[]", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x85"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(600)] + [None, "", " \n ", "river " * 300]
+    want = [b"".join(i.to_bytes(4, "little") for i in enc.tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    array = pa.array(["cut off", *texts]).slice(1)
+    assert list(enc.encode_all(array)) == want
+    assert list(enc.encode_all(array.cast(pa.large_string()))) == want
+    monkeypatch.setattr(tokens, "SLICE", 40)  # many slices, and texts longer than one
+    assert list(enc.encode_all(array)) == want
+    assert list(enc.encode_all(array.slice(0, 0))) == [] and list(enc.encode_all(pa.array([None, " "], pa.string()))) == [b"", b""]
+
+    monkeypatch.setattr(tokens, "SLICE", 1_000_000)
+    asked, plain = [], enc._piece
+    enc._piece = lambda p: asked.append(p) or plain(p)
+    assert len(list(enc.encode_all(pa.array(["River stone, river; STONE"] * 500)))) == 500
+    assert sorted(asked) == sorted({"river", "stone", "", ",", ";"})
